@@ -58,13 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def arrow(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, rows: int = 1024
+) -> DataFrame:
+    """mapInArrow with a function of one batch of at most ``rows`` rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for k in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(k, rows))
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     return df.mapInArrow(each, schema)

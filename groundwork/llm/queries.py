@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from groundwork.llm import simhash
+from groundwork.llm import ogg, packing, simhash, token_files
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op3_token_files": token_files.query,
+    "op8_ogg_media": ogg.query,
+    "op9_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
