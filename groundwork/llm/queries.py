@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from groundwork.llm import ogg, packing, simhash, token_files
+from groundwork.llm import bpe, embedding, lines, ogg, packing, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_token_files": token_files.query,
+    "op6_byte_bpe": bpe.query,
+    "op7_toxicity": toxicity.query,
     "op8_ogg_media": ogg.query,
     "op9_packing": packing.query,
+    "op10_embedding_near_dedup": embedding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
