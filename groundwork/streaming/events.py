@@ -30,7 +30,7 @@ def flags(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def throughput(events: DataFrame, window: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Events a window and type; late ones beyond the watermark are dropped."""
+    """Events a window and type; late ones beyond the watermark are dropped, and so are those without a time."""
     return (
         events.withWatermark("occurred_at", watermark)
         .groupBy(F.window("occurred_at", window).alias("w"), "event_type")

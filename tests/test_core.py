@@ -193,7 +193,7 @@ def test_events(spark, tmp_path):
         q.stop()
     got = spark.table("flags").first()
     assert got.n_events == 8 and got.is_body_searchable
-    assert spark.table("rate").agg(F.sum("n")).first()[0] == 11
+    assert spark.table("rate").agg(F.sum("n")).first()[0] == 10  # a broken event has no time
 
 
 def test_stream_of_statuses(spark, tmp_path):
