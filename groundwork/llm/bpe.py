@@ -1,20 +1,19 @@
 """Byte-level BPE by Spark's higher-order functions.
 
-The merges run in Spark SQL: a word is an array of byte strings, and a fold joins the neighbours
-whose concatenation has the lowest rank until none has one. The rank map is a literal of the plan:
-an array of small maps, addressed by hash, as looking a key up in one Spark map reads all of it.
-Ids are decoded by a literal array of pieces and concatenated.
+The merges run in Spark SQL: a word is an array of its bytes' ids, and a fold joins the leftmost
+neighbours of the lowest rank until no neighbours have one. The rank map is a literal of the plan: the
+rank of every pair of ids whose bytes together have one, as an array of small maps addressed by
+remainder, since looking a key up in one Spark map reads all of it. Ids are decoded by a literal
+array of binary pieces, which are concatenated.
 
 Each match of the split pattern is a word. Words repeat, so documents are taken in blocks of bounded
 length, a row a block: its distinct words, and for each document the places of its words among them.
 The fold runs once for each distinct word of a block; documents are put together from its results.
 Nothing is shuffled or collected, and a block's size doesn't depend on the table's.
 
-Bytes are written as the characters U+0000 to U+00FF of a string, for which Spark has more
-functions than for binary columns.
-
 Defined cases: a null or empty text has no ids; repeated rows give equal values; a null id is carried;
-an empty table gives no rows; other columns are ignored; a single byte without a rank is an error.
+an empty table gives no rows; other columns are ignored; a byte without a rank, or a piece that its
+own bytes' merges don't give, is an error.
 """
 
 from __future__ import annotations
@@ -27,16 +26,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow, table
 
 #: Characters of text in a block. A larger document is a block of its own.
-BLOCK_CHARS = 24 << 20
-BUCKETS = 1 << 15
-#: Up to so many bytes, a chunk between spaces is remembered with its words while a block is made.
+BLOCK_CHARS = 12 << 20
+#: Odd, so that both ids of a pair count.
+BUCKETS = (1 << 17) - 1
+#: Up to so many characters, a chunk between spaces is remembered with its words while a block is made.
 CHUNK_CHARS = 64
 
 
@@ -50,36 +49,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def letters(data: bytes) -> str:
-    return data.decode("latin-1")
-
-
-def _bucket(key: str) -> int:
-    """What ``pmod(xxhash64(key), BUCKETS)`` is in Spark."""
-    return xxhash.xxh64_intdigest(key.encode("utf-8"), 42) % BUCKETS
+def check_ranks(ranks: dict[bytes, int]) -> None:
+    """Every byte has a rank, and every piece comes out of its own bytes, so no word needs a look-up as a whole."""
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a single byte has no rank")
+    for piece, rank in ranks.items():
+        now = [piece[k : k + 1] for k in range(len(piece))]
+        while len(now) > 1:
+            low, k = min((ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(now, now[1:], strict=False)))
+            if low == 1 << 60:
+                raise ValueError(f"piece {rank} isn't reached by merges")
+            now[k : k + 2] = [now[k] + now[k + 1]]
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: the ranks by bucket; Spark folds it to one literal."""
-    buckets: list[dict[str, int] | None] = [None] * BUCKETS
+def pair_literal(ranks: dict[bytes, int]) -> Column:
+    """array<map<bigint,int>>: the rank of pairs of ids, by :func:`pair_key` modulo the array's length."""
+    buckets: list[list[dict[str, int]] | None] = [None] * BUCKETS
     for piece, rank in ranks.items():
-        key = letters(piece)
-        at = _bucket(key)
-        buckets[at] = (buckets[at] or {}) | {key: rank}
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                key = (a << 32) + b
+                at = key % BUCKETS
+                buckets[at] = [*(buckets[at] or []), {"k": key, "v": rank}]
+    entries = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
+    return F.transform(entries, F.map_from_entries)  # JSON has no integer keys
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """array<string>: the piece of every id, in order; ids without one are null."""
+    """array<binary>: the piece of every id, in order; ids without one are null."""
     pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = letters(piece)
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+        pieces[rank] = base64.b64encode(piece).decode()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
 
 
-def rank_of(table: Column, key: Column) -> Column:
-    """The rank of a piece, null if it has none."""
-    return F.get(table, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))[key]
+def rank_of(table: Column, a: Column, b: Column) -> Column:
+    """The rank of a pair of ids, null if it has none or one is null."""
+    key = a.cast("bigint") * (1 << 32) + b
+    return F.get(table, (key % BUCKETS).cast("int"))[key]
 
 
 def _let(value: Column, body) -> Column:
@@ -90,51 +98,41 @@ def _let(value: Column, body) -> Column:
 def merge_once(table: Column, state: Column) -> Column:
     """Join the leftmost pair of neighbours of the lowest rank; as it is if no pair has a rank.
 
-    state: ``now``, the pieces, and ``ranks``, of each piece with its right neighbour (null: none). A
-    merge changes the ranks of two pairs only.
+    state: ``now``, the ids, and ``ranks``, of each id with its right neighbour (null: none). The
+    rank of a pair is the id that it becomes, and a merge changes the ranks of two pairs only.
     """
     now, ranks = state["now"], state["ranks"]
 
-    def at(k: Column) -> Column:
-        def joined(new: Column) -> Column:
-            return F.struct(
-                F.concat(F.slice(now, F.lit(1), k - 1), F.array(new), F.slice(now, k + 2, F.size(now))).alias("now"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(rank_of(table, F.concat(F.get(now, k - 2), new)))).otherwise(F.array().cast("array<int>")),
-                    F.array(rank_of(table, F.concat(new, F.get(now, k + 1)))),
-                    F.slice(ranks, k + 2, F.size(ranks)),
-                ).alias("ranks"),
-            )
-
-        return _let(F.concat(F.get(now, k - 1), F.get(now, k)), joined)
-
-    low = F.array_min(ranks)
-    return _let(F.coalesce(F.array_position(ranks, low), F.lit(0)).cast("int"), lambda k: F.when(k > 0, at(k)).otherwise(state))
-
-
-def encode_word(table: Column, word: Column) -> Column:
-    """array<int>: the ids of a word. A word with a rank of its own is that one id."""
-
-    def fold(letters: Column) -> Column:
-        ranks = F.transform(letters, lambda p, k: rank_of(table, F.concat(p, F.get(letters, k + 1))))
-        start = F.struct(letters.alias("now"), ranks.alias("ranks"))
-        return F.aggregate(
-            letters,
-            start,
-            lambda state, _: merge_once(table, state),
-            lambda state: F.transform(state["now"], lambda p: rank_of(table, p)),
+    def joined(low: Column, k: Column) -> Column:
+        head = F.when(k > 1, F.concat(F.slice(ranks, F.lit(1), k - 2), F.array(rank_of(table, F.get(now, k - 2), low)))).otherwise(
+            F.array().cast("array<int>")
         )
+        tail = F.array(rank_of(table, low, F.get(now, k + 1)))
+        return F.struct(
+            F.concat(F.slice(now, F.lit(1), k - 1), F.array(low), F.slice(now, k + 2, F.lit(1 << 30))).alias("now"),
+            F.concat(head, tail, F.slice(ranks, k + 2, F.lit(1 << 30))).alias("ranks"),
+        )
+
+    def at(low: Column) -> Column:
+        return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks, low).cast("int"), lambda k: joined(low, k)))
+
+    return _let(F.array_min(ranks), at)
 
-    def ids(own: Column) -> Column:
-        return F.when(own.isNotNull(), F.array(own)).otherwise(_let(F.split(word, ""), fold))
 
-    return _let(rank_of(table, word), ids)
+def encode_word(table: Column, first: Column) -> Column:
+    """array<int>: the ids of a word, from the ids of its bytes."""
+    ranks = F.transform(first, lambda a, k: rank_of(table, a, F.get(first, k + 1)))
+    return F.aggregate(
+        F.slice(first, F.lit(2), F.lit(1 << 30)),  # a merge less than bytes at most
+        F.struct(first.alias("now"), ranks.alias("ranks")),
+        lambda state, _: merge_once(table, state),
+        lambda state: state["now"],
+    )
 
 
 def decode_ids(pieces: Column, ids: Column) -> Column:
-    """The bytes of ids, as letters: their pieces, concatenated."""
-    return F.concat_ws("", F.transform(ids, lambda k: F.get(pieces, k)))
+    """The bytes of ids: their pieces, concatenated."""
+    return F.aggregate(ids, F.lit(b""), lambda data, k: F.concat(data, F.get(pieces, k)))
 
 
 # ------------------------------------------------------------------ blocks
@@ -169,20 +167,23 @@ class _Words:
         return np.array(out, "<i4")
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(words, docs): a block's distinct words as letters, and (id, places) of its documents; of (id, text)."""
+def blocks(docs: DataFrame, byte_ids: list[int]) -> DataFrame:
+    """(words, docs): a block's distinct words, as their bytes' ids, and (id, places) of its documents; of (id, text)."""
     kind = pa.list_(pa.struct([("id", pa.int64()), ("places", pa.binary())]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
 
-        pattern = regex.compile(public_tokenizers.PATTERN)
+        pattern, to_id = regex.compile(public_tokenizers.PATTERN), np.array(byte_ids, np.int32)
         held, rows, n = _Words(pattern), [], 0
 
         def block() -> pa.RecordBatch:
-            words = [letters(w.encode("utf-8", "surrogatepass")) for w in held.words]
-            return pa.RecordBatch.from_arrays([pa.array([words]), pa.array([rows], kind)], ["words", "docs"])
+            words = [w.encode("utf-8", "surrogatepass") for w in held.words]
+            ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int32, len(words))))).astype(np.int32)
+            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(to_id[np.frombuffer(b"".join(words), np.uint8)]))
+            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
+            return pa.RecordBatch.from_arrays([whole, pa.array([rows], kind)], ["words", "docs"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -195,13 +196,13 @@ def blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return docs.mapInArrow(make, "words array<string>, docs array<struct<id:bigint,places:binary>>")
+    return docs.mapInArrow(make, "words array<array<int>>, docs array<struct<id:bigint,places:binary>>")
 
 
 def encode_blocks(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(docs, ids, decoded): the ids of a block's words, and the letters that those ids stand for."""
+    """(docs, ids, decoded): the ids of a block's words, and the bytes that those ids stand for."""
     # each literal stands in the plan once; lambdas pass it on
-    ids = _let(rank_literal(ranks), lambda table: F.transform("words", lambda w: encode_word(table, w)))
+    ids = _let(pair_literal(ranks), lambda table: F.transform("words", lambda w: encode_word(table, w)))
     decoded = _let(piece_literal(ranks), lambda pieces: F.transform("ids", lambda x: decode_ids(pieces, x)))
     return found.select("docs", ids.alias("ids")).select("docs", "ids", decoded.alias("decoded"))
 
@@ -209,8 +210,7 @@ def encode_blocks(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; with ``keep_ids`` ids and decoded bytes too."""
     ranks = read_ranks(ranks_path or default_ranks())
-    if any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("a single byte has no rank")
+    check_ranks(ranks)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
             sizes = np.diff(ids.offsets.to_numpy())
             flat, start = ids.flatten().to_numpy().astype("<u4"), np.concatenate(([0], np.cumsum(sizes)))
             pieces = [flat[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)]
-            decoded = [d.encode("latin-1") for d in batch.column(2)[k].values.to_pylist()]
+            decoded = batch.column(2)[k].values.to_pylist()
             rows = []
             for doc in batch.column(0)[k].values:
                 places = np.frombuffer(doc["places"].as_py(), "<i4").tolist()
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * keep_ids
-    return arrow(encode_blocks(blocks(rows), ranks), each, schema, 1)
+    return arrow(encode_blocks(blocks(rows, [ranks[bytes([b])] for b in range(256)]), ranks), each, schema, 1)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

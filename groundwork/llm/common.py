@@ -149,21 +149,39 @@ def blocked(df: DataFrame, key: str, member: str, block_rows: int = BLOCK_ROWS)
 # ---------------------------------------------------------------- components
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indexes of links (a[i], b[i]) that span the components of n nodes."""
-    root = list(range(n))
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.asarray(keep, np.int64)
+class Forest:
+    """Links that span the components of n nodes, gathered from any number of calls."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray, step: int = 4096) -> None:
+        """Take links a[i], b[i]. Those within a component so far are dropped by array operations."""
+        for k in range(0, len(a), step):
+            x, y = a[k : k + step], b[k : k + step]
+            new = np.flatnonzero(self.root[x] != self.root[y])
+            if not len(new):
+                continue
+            up: dict[int, int] = {}
+            for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
+                r, s = int(self.root[u]), int(self.root[v])
+                while r in up:
+                    r = up[r]
+                while s in up:
+                    s = up[s]
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    self.a.append(u)
+                    self.b.append(v)
+            to = np.arange(len(self.root))
+            for r in sorted(up):  # the lesser is final by then
+                to[r] = to[up[r]]
+            self.root = to[self.root]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(self.a, np.int64), np.asarray(self.b, np.int64)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

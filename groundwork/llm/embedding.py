@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, blocked, components, cut, forest, key_groups, table
+from groundwork.llm.common import Forest, arrow, blocked, components, cut, key_groups, table
 
 TABLES, BITS, SEED = 16, 13, 20240
 
@@ -132,10 +132,12 @@ def _found(entries: DataFrame, threshold: float, tables: int, bits: int) -> Data
                 out_a.append(rep[s + has])
                 out_b.append(np.full(len(has), -1))
                 out_n.append(n[has].astype(np.int64))
-                span = forest(e - s, i, j)
-                out_a.append(rep[s + i[span]])
-                out_b.append(rep[s + j[span]])
-                out_n.append(np.full(len(span), -1))
+                span = Forest(e - s)
+                span.add(i, j)
+                i, j = span.links()
+                out_a.append(rep[s + i])
+                out_b.append(rep[s + j])
+                out_n.append(np.full(len(i), -1))
             if out_a:
                 a, b, n = (np.concatenate(v) for v in (out_a, out_b, out_n))
                 yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,9 @@ most floor(l * t / m) bits together: 0, 1, 2, 3, 4. The first link of the chain
 is an equi-key, so distinct fingerprints meet by (i, value of segment i); within a key the longer
 chains prune candidates before the whole Hamming distance is taken.
 
+Within a key, fingerprints are sorted by the next segment, and only those within its budget of one
+more bit are compared at all, so the work of a key is a small share of its pairs.
+
 Equal fingerprints are collapsed to one class before anything is compared. A key of many
 fingerprints is split into blocks (:func:`groundwork.llm.common.blocked`), and a task returns only
 links that span its components, so no group's pairs are ever emitted.
@@ -24,9 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, blocked, components, cut, forest, key_groups, table
+from groundwork.llm.common import Forest, arrow, blocked, components, cut, key_groups, table
 
 WIDTH = 64
+#: Fingerprints of one key that one task compares at a time.
+BLOCK_ROWS = 1 << 16
+#: Differing bits at which near_dedup() links.
+NEAR_BITS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -83,13 +90,36 @@ def chain_pairs(x: np.ndarray, y: np.ndarray, seg: int, distance: int, masks: li
     """Indexes (i, j) of x and y, which agree in segment ``seg``, that differ in ``distance`` bits at most."""
     m = distance + 1
     gap = x[:, None] ^ y[None, :]
-    i, j = np.nonzero(np.bitwise_count(gap & masks[seg][1]) <= 2 * distance // m) if m > 1 else np.nonzero(gap == 0)
+    i, j = np.nonzero(np.bitwise_count(gap & masks[seg][min(1, m - 1)]) <= 2 * distance // m)
     for length in range(3, m + 1):
         ok = np.bitwise_count(gap[i, j] & masks[seg][length - 1]) <= length * distance // m
         i, j = i[ok], j[ok]
     return i, j
 
 
+def key_pairs(x: np.ndarray, y: np.ndarray, seg: int, distance: int, masks: list[list[np.uint64]], most: int = 1 << 22):
+    """The same in parts of at most about ``most`` comparisons, skipping what the second link of the chain excludes."""
+    if len(x) * len(y) <= 1 << 16 or distance < 1:
+        rows = max(1, most // max(1, len(y)))
+        for k in range(0, len(x), rows):
+            i, j = chain_pairs(x[k : k + rows], y, seg, distance, masks)
+            yield i + k, j
+        return
+    low, bits = segments(distance)[(seg + 1) % (distance + 1)]
+    second = lambda v: (v >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    by_x, by_y = np.argsort(second(x), kind="stable"), np.argsort(second(y), kind="stable")
+    sx, sy = second(x)[by_x], second(y)[by_y]
+    values, at = np.unique(sx, return_index=True)
+    for v, a, e in zip(values.tolist(), at.tolist(), [*at[1:].tolist(), len(sx)], strict=True):
+        near = [v, *(v ^ (1 << b) for b in range(bits))]  # the budget of two segments is one bit
+        own = np.concatenate([by_y[np.searchsorted(sy, n) : np.searchsorted(sy, n, "right")] for n in near])
+        rows = max(1, most // max(1, len(own)))
+        for k in range(a, e, rows):
+            part = by_x[k : min(e, k + rows)]
+            i, j = chain_pairs(x[part], y[own], seg, distance, masks)
+            yield part[i], own[j]
+
+
 def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     """classes (fp, rep), distinct fingerprints -> (a, b): links that span each key's components."""
     segs, masks = segments(distance), _masks(distance)
@@ -120,18 +150,18 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
                     continue
                 x, lo = fp[s:mid], s
                 y, hi = (fp[mid:e], mid) if across else (x, s)
-                i, j = chain_pairs(x, y, int(key[s] % len(segs)), distance, masks)
-                i, j = i + lo, j + hi
-                if not across:
-                    i, j = i[i < j], j[i < j]
+                span = Forest(e - s)
+                for i, j in key_pairs(x, y, int(key[s] % len(segs)), distance, masks):
+                    i, j = i + (lo - s), j + (hi - s)
+                    span.add(*((i, j) if across else (i[i < j], j[i < j])))
+                i, j = span.links()
                 if len(i):
-                    span = forest(e - s, i - s, j - s)
-                    a.append(rep[i[span]])
-                    b.append(rep[j[span]])
+                    a.append(rep[s + i])
+                    b.append(rep[s + j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    units = blocked(keyed, "key", "fp")
+    units = blocked(keyed, "key", "fp", BLOCK_ROWS)
     return (
         units.repartition("key", "blk").sortWithinPartitions("key", "blk", "side").mapInArrow(compare, "a long, b long")
     )
@@ -150,16 +180,18 @@ def simhash_components(
     return fps.join(placed, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = NEAR_BITS, shingle: int = 5) -> DataFrame:
     """Keep of each component the row with the smallest id; rows with a null id stay.
 
     Of repeated rows with that same id all stay: they are one document.
     """
     keep = simhash_components(docs, id_col, text_col, distance, shingle).where(F.col("id") == F.col("component_id"))
-    keep = keep.select(F.col("id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_keep"), "left").where(
-        F.col(id_col).isNull() | F.col("_keep").isNotNull()
-    ).drop("_keep")
+    keep = cut(keep.select(F.col("id").alias("_keep")).distinct(), "simhash-keep")
+    return (
+        docs.join(keep, F.col(id_col) == F.col("_keep"), "left")
+        .where(F.col(id_col).isNull() | F.col("_keep").isNotNull())
+        .drop("_keep")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

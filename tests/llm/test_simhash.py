@@ -55,7 +55,7 @@ def test_links_match_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "fp long, rep long")
     want = {i: c for i, c in brute({i: x for x, i in rep.items()}).items()}
     for block in (2048, 3):
-        monkeypatch.setattr(simhash.blocked, "__defaults__", (block,))
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
         got = {r.node: r.component for r in components(simhash.links(df)).collect()}
         assert {i: got.get(i, i) for i in want} == want
 
@@ -98,3 +98,33 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root if x != find(x)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_keys_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for distance in (4, 8):
+        masks, segs = simhash._masks(distance), simhash.segments(distance)
+        x = rng.integers(0, 2**63, 600, dtype=np.uint64)
+        x[300:] = x[:300]
+        for k in range(300, 600):
+            for bit in rng.integers(0, 64, distance):
+                x[k] ^= np.uint64(1 << int(bit))
+        low, bits = segs[2]
+        x &= ~np.uint64(((1 << bits) - 1) << low)
+        want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= distance), strict=True)}
+        chained = {(i, j) for i, j in zip(*simhash.chain_pairs(x, x, 2, distance, masks), strict=True)}
+        got = {(i, j) for a, b in simhash.key_pairs(x, x, 2, distance, masks, 5000) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert got == chained and got <= want
+        found = set()  # over all keys every pair is found
+        y = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        y[30:] = y[:30]
+        for k in range(30, 60):
+            for bit in rng.integers(0, 64, distance):
+                y[k] ^= np.uint64(1 << int(bit))
+        for s, (low, bits) in enumerate(segs):
+            own = y >> np.uint64(low) & np.uint64((1 << bits) - 1)
+            for v in np.unique(own):
+                at = np.flatnonzero(own == v)
+                i, j = simhash.chain_pairs(y[at], y[at], s, distance, masks)
+                found |= set(zip(at[i].tolist(), at[j].tolist(), strict=True))
+        assert found == set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(y[:, None] ^ y[None, :]) <= distance)), strict=True))
