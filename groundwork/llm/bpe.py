@@ -4,11 +4,13 @@ The merges run in Spark SQL: a word is an array of its bytes' ids, and a fold jo
 neighbours of the lowest rank until no neighbours have one. The rank map is a literal of the plan: the
 rank of every pair of ids whose bytes together have one, as an array of small maps addressed by
 remainder, since looking a key up in one Spark map reads all of it. Ids are decoded by a literal
-array of binary pieces, which are concatenated.
+array of binary pieces, which are concatenated (as hexadecimal digits, as Spark joins arrays of
+strings in one step).
 
 Each match of the split pattern is a word. Words repeat, so documents are taken in blocks of bounded
 length, a row a block: its distinct words, and for each document the places of its words among them.
-The fold runs once for each distinct word of a block; documents are put together from its results.
+The fold runs once for each distinct word of a block; documents are put together from its results,
+in Spark SQL too. Python only matches the split pattern, which Java's regular expressions can't.
 Nothing is shuffled or collected, and a block's size doesn't depend on the table's.
 
 Defined cases: a null or empty text has no ids; repeated rows give equal values; a null id is carried;
@@ -19,7 +21,6 @@ own bytes' merges don't give, is an error.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, table
+from groundwork.llm.common import table
 
 #: Characters of text in a block. A larger document is a block of its own.
 BLOCK_CHARS = 12 << 20
@@ -53,6 +54,8 @@ def check_ranks(ranks: dict[bytes, int]) -> None:
     """Every byte has a rank, and every piece comes out of its own bytes, so no word needs a look-up as a whole."""
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a single byte has no rank")
+    if max(ranks.values()) >= NONE:
+        raise ValueError("a rank is too large")
     for piece, rank in ranks.items():
         now = [piece[k : k + 1] for k in range(len(piece))]
         while len(now) > 1:
@@ -77,11 +80,11 @@ def pair_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """array<binary>: the piece of every id, in order; ids without one are null."""
+    """array<string>: the hexadecimal digits of every id's piece, in order; ids without one are null."""
     pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
+        pieces[rank] = piece.hex()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
 
 
 def rank_of(table: Column, a: Column, b: Column) -> Column:
@@ -95,44 +98,76 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A place of the fold: the rank of the id with its right neighbour, its first byte's place, the id.
+ID_BITS, PLACE_BITS = 18, 27
+#: The rank of what has none.
+NONE = (1 << ID_BITS) - 1
+
+
+def _packed(rank: Column, rest: Column) -> Column:
+    return F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("bigint"), ID_BITS + PLACE_BITS) + rest
+
+
+def _id(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(NONE))
+
+
+def _rest(x: Column) -> Column:
+    """The place and the id, without the rank."""
+    return x.bitwiseAND(F.lit((1 << ID_BITS + PLACE_BITS) - 1))
+
+
 def merge_once(table: Column, state: Column) -> Column:
     """Join the leftmost pair of neighbours of the lowest rank; as it is if no pair has a rank.
 
-    state: ``now``, the ids, and ``ranks``, of each id with its right neighbour (null: none). The
-    rank of a pair is the id that it becomes, and a merge changes the ranks of two pairs only.
+    state: array<bigint>, a number for each id; the least is the pair to join, as ranks come first in
+    it and then places. The rank of a pair is the id that it becomes, and a merge changes the ranks of
+    two pairs only.
     """
-    now, ranks = state["now"], state["ranks"]
 
     def joined(low: Column, k: Column) -> Column:
-        head = F.when(k > 1, F.concat(F.slice(ranks, F.lit(1), k - 2), F.array(rank_of(table, F.get(now, k - 2), low)))).otherwise(
-            F.array().cast("array<int>")
-        )
-        tail = F.array(rank_of(table, low, F.get(now, k + 1)))
-        return F.struct(
-            F.concat(F.slice(now, F.lit(1), k - 1), F.array(low), F.slice(now, k + 2, F.lit(1 << 30))).alias("now"),
-            F.concat(head, tail, F.slice(ranks, k + 2, F.lit(1 << 30))).alias("ranks"),
+        new = F.shiftright(low, ID_BITS + PLACE_BITS)
+        own = _packed(rank_of(table, new, _id(F.get(state, k + 1))), _rest(low) - _id(low) + new)
+        tail = F.slice(state, k + 2, F.lit(1 << 30))
+        left = F.get(state, k - 2)
+        return F.when(k == 1, F.concat(F.array(own), tail)).otherwise(
+            F.concat(F.slice(state, F.lit(1), k - 2), F.array(_packed(rank_of(table, _id(left), new), _rest(left)), own), tail)
         )
 
     def at(low: Column) -> Column:
-        return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks, low).cast("int"), lambda k: joined(low, k)))
+        return F.when(low >= NONE << ID_BITS + PLACE_BITS, state).otherwise(
+            _let(F.array_position(state, low).cast("int"), lambda k: joined(low, k))
+        )
 
-    return _let(F.array_min(ranks), at)
+    return _let(F.array_min(state), at)
 
 
 def encode_word(table: Column, first: Column) -> Column:
     """array<int>: the ids of a word, from the ids of its bytes."""
-    ranks = F.transform(first, lambda a, k: rank_of(table, a, F.get(first, k + 1)))
+
+    def place(a: Column, k: Column) -> Column:
+        return _packed(rank_of(table, a, F.get(first, k + 1)), F.shiftleft(k.cast("bigint"), ID_BITS) + a)
+
     return F.aggregate(
         F.slice(first, F.lit(2), F.lit(1 << 30)),  # a merge less than bytes at most
-        F.struct(first.alias("now"), ranks.alias("ranks")),
+        F.transform(first, place),
         lambda state, _: merge_once(table, state),
-        lambda state: state["now"],
+        lambda state: F.transform(state, lambda x: _id(x).cast("int")),
     )
 
 
 def decode_ids(pieces: Column, ids: Column) -> Column:
-    """The bytes of ids: their pieces, concatenated."""
-    return F.aggregate(ids, F.lit(b""), lambda data, k: F.concat(data, F.get(pieces, k)))
+    """The bytes of ids, as hexadecimal digits: their pieces, concatenated."""
+    return F.array_join(F.transform(ids, lambda k: F.get(pieces, k)), "")
+
+
+def little_endian(ids: Column) -> Column:
+    """The ids as little-endian unsigned 32-bit integers, as hexadecimal digits."""
+
+    def digits(k: Column) -> Column:
+        return _let(F.lpad(F.hex(k), 8, "0"), lambda h: F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
+
+    return F.array_join(F.transform(ids, digits), "")
 
 
 # ------------------------------------------------------------------ blocks
@@ -169,8 +204,6 @@ class _Words:
 
 def blocks(docs: DataFrame, byte_ids: list[int]) -> DataFrame:
     """(words, docs): a block's distinct words, as their bytes' ids, and (id, places) of its documents; of (id, text)."""
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("places", pa.binary())]))
-
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
@@ -183,12 +216,15 @@ def blocks(docs: DataFrame, byte_ids: list[int]) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int32, len(words))))).astype(np.int32)
             each = pa.ListArray.from_arrays(pa.array(ends), pa.array(to_id[np.frombuffer(b"".join(words), np.uint8)]))
             whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
-            return pa.RecordBatch.from_arrays([whole, pa.array([rows], kind)], ["words", "docs"])
+            starts = np.concatenate(([0], np.cumsum([len(p) for _, p in rows]))).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([p for _, p in rows])))
+            own = pa.StructArray.from_arrays([pa.array([i for i, _ in rows], pa.int64()), places], ["id", "places"])
+            return pa.RecordBatch.from_arrays([whole, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), own)], ["words", "docs"])
 
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py() or ""
-                rows.append({"id": batch.column(0)[k].as_py(), "places": held.add(text).tobytes()})
+                rows.append((batch.column(0)[k].as_py(), held.add(text)))
                 n += len(text)
                 if n >= BLOCK_CHARS:
                     yield block()
@@ -196,50 +232,50 @@ def blocks(docs: DataFrame, byte_ids: list[int]) -> DataFrame:
         if rows:
             yield block()
 
-    return docs.mapInArrow(make, "words array<array<int>>, docs array<struct<id:bigint,places:binary>>")
+    return docs.mapInArrow(make, "words array<array<int>>, docs array<struct<id:bigint,places:array<int>>>")
+
+
+def encode_blocks(found: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
+    """A row for each document of the blocks: see :func:`encode`."""
+
+    def document(doc: Column, ids: Column, coded: Column, decoded: Column) -> Column:
+        places = doc["places"]
 
+        def whole(words: Column) -> Column:
+            return F.array_join(F.transform(places, lambda p: F.get(words, p)), "")
 
-def encode_blocks(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(docs, ids, decoded): the ids of a block's words, and the bytes that those ids stand for."""
-    # each literal stands in the plan once; lambdas pass it on
+        def row(code: Column, text: Column) -> Column:
+            out = [
+                doc["id"].alias("id"),
+                (F.length(code) / 8).cast("long").alias("n_tokens"),
+                F.sha2(F.unhex(code), 256).alias("ids_sha256"),
+                F.sha2(F.unhex(text), 256).alias("decoded_sha256"),
+            ]
+            if keep_ids:
+                out.append(F.flatten(F.transform(places, lambda p: F.get(ids, p))).cast("array<bigint>").alias("ids"))
+                out.append(F.unhex(text).alias("decoded"))
+            return F.struct(*out)
+
+        return _let(whole(coded), lambda code: _let(whole(decoded), lambda text: row(code, text)))
+
+    def documents(ids: Column) -> Column:
+        decoded = _let(piece_literal(ranks), lambda pieces: F.transform(ids, lambda x: decode_ids(pieces, x)))
+        return _let(
+            F.transform(ids, little_endian),
+            lambda coded: _let(decoded, lambda text: F.transform("docs", lambda d: document(d, ids, coded, text))),
+        )
+
+    # each literal, and what is computed of a block, stands in the plan once; lambdas pass it on
     ids = _let(pair_literal(ranks), lambda table: F.transform("words", lambda w: encode_word(table, w)))
-    decoded = _let(piece_literal(ranks), lambda pieces: F.transform("ids", lambda x: decode_ids(pieces, x)))
-    return found.select("docs", ids.alias("ids")).select("docs", "ids", decoded.alias("decoded"))
+    return found.select(F.explode(_let(ids, documents)).alias("_d")).select("_d.*")
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; with ``keep_ids`` ids and decoded bytes too."""
     ranks = read_ranks(ranks_path or default_ranks())
     check_ranks(ranks)
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(batch.num_rows):
-            ids = batch.column(1)[k].values
-            sizes = np.diff(ids.offsets.to_numpy())
-            flat, start = ids.flatten().to_numpy().astype("<u4"), np.concatenate(([0], np.cumsum(sizes)))
-            pieces = [flat[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)]
-            decoded = batch.column(2)[k].values.to_pylist()
-            rows = []
-            for doc in batch.column(0)[k].values:
-                places = np.frombuffer(doc["places"].as_py(), "<i4").tolist()
-                raw, text = b"".join([pieces[p] for p in places]), b"".join([decoded[p] for p in places])
-                row = (doc["id"].as_py(), len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest())
-                rows.append((*row, np.frombuffer(raw, "<u4").tolist(), text) if keep_ids else row)
-                if len(rows) == 4096:
-                    yield out(rows)
-                    rows = []
-            if rows:
-                yield out(rows)
-
-    fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    fields += [("ids", pa.list_(pa.int64())), ("decoded", pa.binary())] if keep_ids else []
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
-
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * keep_ids
-    return arrow(encode_blocks(blocks(rows, [ranks[bytes([b])] for b in range(256)]), ranks), each, schema, 1)
+    return encode_blocks(blocks(rows, [ranks[bytes([b])] for b in range(256)]), ranks, keep_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
