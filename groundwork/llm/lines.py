@@ -1,19 +1,20 @@
-"""Line dedup: content-defined chunks of lines.
+"""Line dedup: windows of lines at every line, so that no repeated passage is too short or badly placed.
 
-Each line is hashed; a rolling hash over the last ``WINDOW`` line hashes closes a chunk wherever it
-meets a condition, so that an inserted or missing line moves boundaries nearby only and a shared
-passage falls into the same chunks wherever it stands. A chunk of at least ``MIN_LINES`` lines and
-``MIN_BYTES`` bytes whose bytes stand in an earlier place of the corpus, by (id, position), is
-removed; the first place stays.
+A window is the shortest run of at least ``MIN_LINES`` lines and ``MIN_BYTES`` bytes from a line on, or up
+to a line. Every run of so many lines and bytes is covered by windows that lie within it, wherever it
+stands and whatever surrounds it. The lines of a window whose bytes stand in an earlier place of the corpus,
+by (id, position), are removed. A window that recurs in its own text keeps its first place whole; across
+texts every line stays at its first place, but what precedes or follows it there may be a repeat itself.
+A window of more than ``MAX_LINES`` lines, which is made of blank lines, is none.
 
-Only (id, position, hash) rows are shuffled for the whole corpus. Chunks whose hash occurs again
+Only (id, position, hash) rows are shuffled for the whole corpus. Windows whose hash occurs again
 fetch their bytes; within a hash least and greatest bytes are compared, which says that all are
 equal, and where they aren't (a collision) the bytes themselves are the key. Counts combine before
-the shuffle, so a chunk in a third of all documents stays cheap; the join that hands the first place
+the shuffle, so a window in a third of all documents stays cheap; the join that hands the first place
 back is one whose hot keys Spark splits.
 
 Defined cases: a null text stays null and an empty one empty; a row with a null id stays as it is
-and isn't compared; rows with equal id and text are one document, so none of them loses a chunk to
+and isn't compared; rows with equal id and text are one document, so none of them loses a window to
 another, and rows with equal id and another text lose what stands at an earlier line of either; a text whose every line goes becomes empty; an empty table gives no rows; columns that
 aren't id or text are kept as they are.
 """
@@ -42,7 +43,7 @@ def chunk_hash(data: bytes) -> int:
 
 
 def bounds(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Chunks (first line, line after the last)."""
+    """Content-defined chunks (first line, line after the last); dedup() doesn't use them, they are too coarse for short passages."""
     h = np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), np.uint64, len(lines))
     rolling, power = h.copy(), 1
     for k in range(1, WINDOW):
@@ -60,24 +61,52 @@ def bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def windows(lines: list[bytes]) -> dict[int, tuple[int, int]]:
+    """Place -> (first line, line after the last).
+
+    The place is twice the first line of the shortest window from there, and one more than twice the
+    line after the last of the shortest one up to there, if that isn't also the shortest from its
+    first line. Which of the two it is depends on the bytes alone, so places of equal windows compare.
+    """
+    n = len(lines)
+    size = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, n) + 1)))
+    end = np.maximum(np.searchsorted(size, size[:n] + MIN_BYTES + 1), np.arange(n) + MIN_LINES)
+    ok = np.flatnonzero((end <= n) & (end - np.arange(n) <= MAX_LINES))
+    out = {2 * a: (a, e) for a, e in zip(ok.tolist(), end[ok].tolist(), strict=True)}
+    start = np.minimum(np.searchsorted(size, size - MIN_BYTES - 1, "right") - 1, np.arange(n + 1) - MIN_LINES)
+    ok = np.flatnonzero((start >= 0) & (np.arange(n + 1) - start <= MAX_LINES))
+    for a, e in zip(start[ok].tolist(), ok.tolist(), strict=True):
+        if int(end[a]) != e:
+            out[2 * e + 1] = (a, e)
+    return out
+
+
 def chunks(text: str | None) -> list[tuple[int, int, bytes]]:
-    """Chunks of a text that may be removed."""
+    """(place, line after the last, bytes) of the windows of a text."""
     if not text or "\n" not in text:
         return []
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    found = ((a, e, b"\n".join(lines[a:e])) for a, e in bounds(lines) if e - a >= MIN_LINES)
-    return [c for c in found if len(c[2]) >= MIN_BYTES]
+    return [(at, e, b"\n".join(lines[a:e])) for at, (a, e) in windows(lines).items()]
 
 
 def without(text: str, gone: set[int]) -> str:
-    """The text without the chunks that start at the lines ``gone``."""
+    """The text without the windows at the places ``gone``."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    kept = [x for a, e in bounds(lines) if a not in gone for x in lines[a:e]]
-    return b"\n".join(kept).decode("utf-8", "surrogatepass")
+    found = windows(lines)
+    keep = np.ones(len(lines), bool)
+    again = set()
+    for at in gone:
+        a, e = found[at]
+        keep[a:e] = False
+        again.add(tuple(lines[a:e]))
+    for at, (a, e) in found.items():
+        if at not in gone and tuple(lines[a:e]) in again:
+            keep[a:e] = True
+    return b"\n".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k).decode("utf-8", "surrogatepass")
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(id, t, at, h): every chunk's first line and hash; t is the text's hash."""
+    """(id, t, at, h): every window's place and hash; t is the text's hash."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, at, h = [], [], []
@@ -92,11 +121,11 @@ def _places(docs: DataFrame) -> DataFrame:
             ["id", "t", "at", "h"],
         )
 
-    return arrow(docs.select("id", "t", "text"), each, "id long, t long, at int, h long")
+    return arrow(docs.select("id", "t", "text"), each, "id long, t long, at int, h long", 256)
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    """(id, t, at, h, data) of the chunks whose first lines ``need`` lists."""
+    """(id, t, at, h, data) of the windows whose places ``need`` lists."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -113,7 +142,7 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, at): chunks, by first line, whose bytes stand in an earlier place."""
+    """(id, t, at): windows, by place, whose bytes stand in an earlier place."""
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
     )
@@ -128,16 +157,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         data.groupBy(F.col("h").alias("_h")).agg((F.min("data") == F.max("data")).alias("equal"), first), "line-first"
     )
     later = F.struct("id", "at") > F.col("first")
-    plain = data.select("id", "t", "at", "h").join(by_hash.where("equal"), F.col("h") == F.col("_h")).where(later)
+    plain = data.select("id", "t", "at", "h").join(by_hash.where("equal"), F.col("h") == F.col("_h")).where(later).select("id", "t", "at")
     odd = by_hash.where(~F.col("equal")).select("_h")
+    if odd.isEmpty():  # else all bytes are shuffled once more for nothing
+        return plain.distinct()
     collided = data.join(odd, F.col("h") == F.col("_h")).select("id", "t", "at", "data")
     exact = collided.groupBy(F.col("data").alias("_data")).agg(first)
     rest = collided.join(exact, F.col("data") == F.col("_data")).where(later)
-    return plain.select("id", "t", "at").unionAll(rest.select("id", "t", "at")).distinct()
+    return plain.unionAll(rest.select("id", "t", "at")).distinct()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks removed from the text, and ``_removed``, the chunks' first lines (null: none)."""
+    """``docs`` with repeated windows removed from the text, and ``_removed``, the windows' places (null: none)."""
     gone = (
         repeats(docs, id_col, text_col)
         .groupBy(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t"))
@@ -154,7 +185,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, same columns, without the chunks of lines that stand in an earlier place."""
+    """``docs``, same columns, without the windows of lines that stand in an earlier place."""
     return dedup(docs, id_col, text_col).drop("_removed")
 
 

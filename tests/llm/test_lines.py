@@ -77,3 +77,40 @@ def test_edges(spark):
         by.setdefault(r.doc_id, []).append(r.text)
     assert by[1] == [None] and by[2] == [""] and by[None] == [text] and by[3] == [text, text]
     assert by[4] == [""] and by[5] == by[6] == ["\n\n\n\n"] and len(by[7][0]) < len(text)
+
+
+def all_runs(rows):
+    """Rows without the lines of any run of lines, short or long, that stands at an earlier place."""
+    places, out = {}, []
+    runs = [
+        {(a, e): tuple(x[a:e]) for a in range(len(x)) for e in range(a + lines.MIN_LINES, len(x) + 1) if len("\n".join(x[a:e]).encode()) >= lines.MIN_BYTES}
+        for x in (t.split("\n") for _, t in rows)
+    ]
+    for (i, _), found in zip(rows, runs, strict=True):
+        for (a, _), data in found.items():
+            places[data] = min(places.get(data, (i, a)), (i, a))
+    for (i, t), found in zip(rows, runs, strict=True):
+        gone = {k for (a, e), data in found.items() if (i, a) > places[data] for k in range(a, e)}
+        out.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return out
+
+
+def test_short_runs_are_found(spark):
+    rng = random.Random(8)
+    pool = [[f"passage {p} line {k} {'x' * rng.randrange(30)}"[rng.randrange(12) :] for k in range(3)] + ["."] * (p % 2) + [f"{p}"] for p in range(30)]
+    rows = []
+    for i in range(50):
+        text = [f"own {rng.random()}"]
+        for p in rng.sample(pool, rng.randrange(4)):
+            text += [*p[: rng.randrange(1, 6)], f"own {rng.random()}"]
+        rows.append((i, "\n".join(text)))
+    want = all_runs(rows)
+    assert sum(a != b for a, b in zip(rows, want, strict=True)) > 20
+    got = lines.line_dedup(spark.createDataFrame([(*r, 0, "", 0.0) for r in rows], S)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want
+
+
+def test_repeat_in_its_own_text_keeps_its_first_place():
+    a, b = "a line of twenty bytes", "another of twenty bytes"
+    assert brute([(1, "\n".join([a] * 5))]) == [(1, f"{a}\n{a}")]
+    assert brute([(1, "\n".join([a, b] * 3))]) == [(1, f"{a}\n{b}\n{a}")]
