@@ -32,8 +32,16 @@ from groundwork.llm.common import Forest, arrow, blocked, components, cut, key_g
 WIDTH = 64
 #: Fingerprints of one key that one task compares at a time.
 BLOCK_ROWS = 1 << 16
-#: Differing bits at which near_dedup() links.
+#: Differing bits at which fingerprints of five-word shingles are near; near_dedup() goes by exact similarity.
 NEAR_BITS = 8
+#: Least Jaccard similarity at which near_dedup() links, as a fraction.
+NEAR = (4, 5)
+#: Two texts at 0.8 share one of so many bands of so many least hashes with a chance of 0.9994.
+BANDS, ROWS = 32, 7
+#: Texts of one band that one task compares at a time.
+COMPARE_ROWS = 256
+
+_ODD = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -180,13 +188,141 @@ def simhash_components(
     return fps.join(placed, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = NEAR_BITS, shingle: int = 5) -> DataFrame:
-    """Keep of each component the row with the smallest id; rows with a null id stay.
+def shingles(text: str | None, shingle: int = 5) -> set[bytes]:
+    """The word shingles of a text, as :func:`fingerprint` cuts them."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+
+
+def alike(x: set[bytes], y: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is NEAR or more."""
+    if min(len(x), len(y)) * NEAR[1] < max(len(x), len(y)) * NEAR[0]:
+        return False
+    both = len(x & y)
+    return both * NEAR[1] >= (len(x) + len(y) - both) * NEAR[0]
+
+
+def band_keys(found: set[bytes]) -> tuple[int, list[int]]:
+    """The hash of a set of shingles and its keys, one for each band of ROWS least hashes."""
+    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(x) for x in found), np.uint64, len(found)))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 1024):
+        x = h[k : k + 1024, None] * _ODD
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, x.min(axis=0), out=least)
+    raw = least.reshape(BANDS, ROWS)
+    return xxhash.xxh64_intdigest(h.tobytes()), [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(raw)]
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """texts (id, t, text) -> (id, t, s, keys)."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [band_keys(shingles(x)) for x in batch.column(2).to_pylist()]
+        s = np.array([x for x, _ in made], np.uint64).view(np.int64)
+        keys = np.array([k for _, k in made], np.uint64).view(np.int64).reshape(-1)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(keys))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), keys], ["id", "t", "s", "keys"])
+
+    return arrow(texts, each, "id long, t long, s long, keys array<long>", 256)
+
+
+def _confirmed(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, text_a, text_b) -> (a, b) of those that are alike."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ok = [alike(shingles(u), shingles(v)) for u, v in zip(x, y, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return arrow(pairs.select("a", "b", "text_a", "text_b"), each, "a long, b long", 256)
+
+
+def _compared(units: DataFrame) -> DataFrame:
+    """units (grp, blk, side, rep, comp, text) -> (a, b): confirmed links between the components of each unit."""
+
+    def compare(batches):
+        for t, starts in key_groups(batches, ["grp", "blk"], 256):
+            side, rep, comp = (t[c].to_numpy() for c in ("side", "rep", "comp"))
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                mid = s + int(np.searchsorted(side[s:e], 1))
+                if mid == s or e - s < 2:
+                    continue
+                sets = [shingles(x) for x in t["text"].slice(s, e - s).to_pylist()]
+                root = {c: c for c in comp[s:e].tolist()}
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        x = root[x]
+                    return x
+
+                for i in range(mid - s):
+                    for j in range(mid - s, e - s) if mid < e else range(i + 1, e - s):
+                        x, y = find(comp[s + i]), find(comp[s + j])
+                        if x != y and alike(sets[i], sets[j]):
+                            root[max(x, y)] = min(x, y)
+                            a.append(int(rep[s + i]))
+                            b.append(int(rep[s + j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return units.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "side").mapInArrow(compare, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row with an id: components of texts whose shingles are alike.
+
+    Candidates share a band of least hashes. Each is confirmed against the commonest least member of its
+    bands; bands that still hold more than one component are then compared in full, in blocks.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
+    )
+    rows = cut(_sketches(texts), "near-sketch")
+    classes = cut(rows.groupBy("s").agg(F.min(F.struct("id", "t", "keys")).alias("m")).select("s", "m.*"), "near-class")
+    keyed = classes.select(F.col("id").alias("rep"), "t", F.explode("keys").alias("key"))
+    first = F.min(F.struct("rep", "t")).alias("first")
+    shared = keyed.groupBy(F.col("key").alias("_k")).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(keyed.join(shared, F.col("key") == F.col("_k")).select("key", "rep", "t", "first"), "near-member")
+    edges = cut(members.where(F.col("first") < F.struct("rep", "t")).groupBy("rep", "t").agg(F.mode("first").alias("f")).select("rep", "t", "f.*").toDF("a", "ta", "b", "tb"), "near-edge")
+    nodes = members.select("rep", "t").distinct().toDF("_i", "_t")
+    own = cut(
+        texts.join(nodes, (F.col("id") == F.col("_i")) & (F.col("t") == F.col("_t"))).select("id", "t", "text").dropDuplicates(["id", "t"]), "near-text"
+    )
+    one, other = own.toDF("_ia", "_ta", "text_a"), own.toDF("_ib", "_tb", "text_b")
+    pairs = edges.join(one, (F.col("a") == F.col("_ia")) & (F.col("ta") == F.col("_ta")))
+    pairs = pairs.join(other, (F.col("b") == F.col("_ib")) & (F.col("tb") == F.col("_tb")))
+    sure = cut(_confirmed(pairs), "near-link")
+    comps = components(sure, "near-cc").toDF("_n", "_c")
+    placed = members.join(comps, F.col("rep") == F.col("_n"), "left").select("key", "rep", "t", F.coalesce("_c", "rep").alias("comp"))
+    placed = cut(placed, "near-placed")
+    open_ = (
+        placed.groupBy(F.col("key").alias("_k"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("sum(xxhash64(rep, t) % 1000000007)").alias("x"), F.expr("sum(xxhash64(t, rep) % 1000000007)").alias("y"))
+        .where("lo < hi")
+        .groupBy("n", "x", "y")  # bands of the same members
+        .agg(F.min("_k").alias("_k"))
+        .select("_k")
+    )
+    left = cut(placed.join(open_, F.col("key") == F.col("_k")).select(F.col("key").alias("grp"), "rep", "t", "comp"), "near-open")
+    units = blocked(left, "grp", "rep", COMPARE_ROWS)
+    units = units.join(own.toDF("_i", "_t", "text"), (F.col("rep") == F.col("_i")) & (F.col("t") == F.col("_t")))
+    more = cut(_compared(units.select("grp", "blk", "side", "rep", "comp", "text")), "near-more")
+    comps = components(sure.unionAll(more), "near-all").toDF("_n", "_c")
+    of = classes.select(F.col("s").alias("_s"), F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("_n"), "left")
+    of = cut(of.select("_s", F.coalesce("_c", "rep").alias("component_id")), "near-of")
+    return rows.join(of, F.col("s") == F.col("_s")).select("id", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep of each component of :func:`jaccard_components` the row with the smallest id; rows with a null id stay.
 
     Of repeated rows with that same id all stay: they are one document.
     """
-    keep = simhash_components(docs, id_col, text_col, distance, shingle).where(F.col("id") == F.col("component_id"))
-    keep = cut(keep.select(F.col("id").alias("_keep")).distinct(), "simhash-keep")
+    keep = jaccard_components(docs, id_col, text_col).where(F.col("id") == F.col("component_id"))
+    keep = cut(keep.select(F.col("id").alias("_keep")).distinct(), "near-keep")
     return (
         docs.join(keep, F.col(id_col) == F.col("_keep"), "left")
         .where(F.col(id_col).isNull() | F.col("_keep").isNotNull())

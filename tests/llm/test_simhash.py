@@ -128,3 +128,20 @@ def test_large_keys_lose_no_pair():
                 i, j = simhash.chain_pairs(y[at], y[at], s, distance, masks)
                 found |= set(zip(at[i].tolist(), at[j].tolist(), strict=True))
         assert found == set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(y[:, None] ^ y[None, :]) <= distance)), strict=True))
+
+
+def test_near_dedup_goes_by_exact_similarity(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.choice(300, rng.integers(3, 12), replace=False):
+            words[at] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    jac = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(60)}
+    want = {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if jac[k] < 0.8}
+    assert sum(0.8 <= j < 0.9 for j in jac.values()) > 10 and min(jac.values()) < 0.75
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
