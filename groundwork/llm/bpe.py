@@ -4,40 +4,45 @@ The merges run in Spark SQL: a word is an array of its bytes' ids, and a fold jo
 neighbours of the lowest rank until no neighbours have one. The rank map is a literal of the plan: the
 rank of every pair of ids whose bytes together have one, as an array of small maps addressed by
 remainder, since looking a key up in one Spark map reads all of it. Ids are decoded by a literal
-array of binary pieces, which are concatenated (as hexadecimal digits, as Spark joins arrays of
-strings in one step).
+array of binary pieces, which are concatenated (Spark joins arrays of strings in one step, and its
+strings are bytes; nothing is read as characters on the way).
 
-Each match of the split pattern is a word. Words repeat, so documents are taken in blocks of bounded
-length, a row a block: its distinct words, and for each document the places of its words among them.
-The fold runs once for each distinct word of a block; documents are put together from its results,
-in Spark SQL too. Python only matches the split pattern, which Java's regular expressions can't.
-Nothing is shuffled or collected, and a block's size doesn't depend on the table's.
+Each match of the split pattern is a word. Of the corpus's distinct words, counted over all texts, the
+``HEAD`` commonest at most (all of a count, or none) are folded once, and their ids become a second
+literal of the plan, of bounded size; any other word is folded where it stands. That changes where the
+work is done, not its result. Nothing but word counts is shuffled, and no row is larger than its document's.
+
+Java's regular expressions split the texts. Its ``\\s`` is written out, and letters and digits of newer
+Unicode versions, which the ``tiktoken`` library knows and Java doesn't, are added for texts that leave
+the ranges in which all versions agree.
 
 Defined cases: a null or empty text has no ids; repeated rows give equal values; a null id is carried;
 an empty table gives no rows; other columns are ignored; a byte without a rank, or a piece that its
-own bytes' merges don't give, is an error.
+own bytes' merges don't give, is an error, and so is a word of 2 ** 27 bytes. The time of one word is
+quadratic in its length (16,000 letters: some seconds); that of a text is linear in its words.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Iterator
+import math
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import table
+from groundwork.llm.common import cut, discard, table
 
-#: Characters of text in a block. A larger document is a block of its own.
-BLOCK_CHARS = 12 << 20
-#: Odd, so that both ids of a pair count.
-BUCKETS = (1 << 17) - 1
-#: Up to so many characters, a chunk between spaces is remembered with its words while a block is made.
-CHUNK_CHARS = 64
+#: Distinct words that are folded once and looked up, at most.
+HEAD = 1 << 18
+#: Maps in which they lie, and those of the pairs; odd, so that both ids of a pair count.
+HEAD_BUCKETS, BUCKETS = (1 << 18) - 1, (1 << 17) - 1
+#: White space in Unicode.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Where letters, digits and white space are the same in all Unicode versions from 6 on.
+SETTLED = r"\x{0}-\x{51F}\x{2010}-\x{206F}\x{3000}-\x{30FF}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
 
 
 def default_ranks() -> str:
@@ -65,32 +70,36 @@ def check_ranks(ranks: dict[bytes, int]) -> None:
             now[k : k + 2] = [now[k] + now[k + 1]]
 
 
-def pair_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<bigint,int>>: the rank of pairs of ids, by :func:`pair_key` modulo the array's length."""
-    buckets: list[list[dict[str, int]] | None] = [None] * BUCKETS
-    for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-            if a is not None and b is not None:
-                key = (a << 32) + b
-                at = key % BUCKETS
-                buckets[at] = [*(buckets[at] or []), {"k": key, "v": rank}]
-    entries = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
-    return F.transform(entries, F.map_from_entries)  # JSON has no integer keys
-
-
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """array<string>: the hexadecimal digits of every id's piece, in order; ids without one are null."""
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+def pairs(ranks: dict[bytes, int]) -> pd.DataFrame:
+    """(k, v): the two ids in one number, and rank, of every pair that merges."""
+    found = [
+        ((a << 32) + b, rank)
+        for piece, rank in ranks.items()
+        for k in range(1, len(piece))
+        if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None
+    ]
+    return pd.DataFrame(found, columns=["k", "v"])
+
+
+def map_literal(entries: DataFrame, bucket: Column, buckets: int) -> Column:
+    """array<map<k, v>>: the entries (k, v) by bucket, as a literal that a subquery makes once."""
+    own = entries.groupBy(bucket.cast("long").alias("_b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
+    every = entries.sparkSession.range(buckets).join(own, F.col("id") == F.col("_b"), "left")
+    # a row a bucket, whatever the input
+    listed = F.sort_array(F.collect_list(F.struct("id", "e")))
+    return every.agg(F.transform(listed, lambda r: F.map_from_entries(r["e"])).alias("t")).scalar()
+
+
+def piece_literal(spark: SparkSession, pieces: dict[int, bytes]) -> Column:
+    """array<string>: the bytes of every id, in order; ids without any are null."""
+    every = [pieces.get(k) for k in range(max(pieces, default=-1) + 1)]
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(every)), "v": every}), "k long, v binary")
+    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda r: r["v"].cast("string")).alias("t")).scalar()
 
 
 def rank_of(table: Column, a: Column, b: Column) -> Column:
     """The rank of a pair of ids, null if it has none or one is null."""
-    key = a.cast("bigint") * (1 << 32) + b
-    return F.get(table, (key % BUCKETS).cast("int"))[key]
+    return _let(a.cast("bigint") * (1 << 32) + b, lambda key: F.get(table, (key % BUCKETS).cast("int"))[key])
 
 
 def _let(value: Column, body) -> Column:
@@ -129,9 +138,14 @@ def merge_once(table: Column, state: Column) -> Column:
         new = F.shiftright(low, ID_BITS + PLACE_BITS)
         own = _packed(rank_of(table, new, _id(F.get(state, k + 1))), _rest(low) - _id(low) + new)
         tail = F.slice(state, k + 2, F.lit(1 << 30))
-        left = F.get(state, k - 2)
-        return F.when(k == 1, F.concat(F.array(own), tail)).otherwise(
-            F.concat(F.slice(state, F.lit(1), k - 2), F.array(_packed(rank_of(table, _id(left), new), _rest(left)), own), tail)
+        # flatten() joins arrays several times as fast as concat() here
+        return F.when(k == 1, F.flatten(F.array(F.array(own), tail))).otherwise(
+            _let(
+                F.get(state, k - 2),
+                lambda left: F.flatten(
+                    F.array(F.slice(state, F.lit(1), k - 2), F.array(_packed(rank_of(table, _id(left), new), _rest(left)), own), tail)
+                ),
+            )
         )
 
     def at(low: Column) -> Column:
@@ -145,137 +159,163 @@ def merge_once(table: Column, state: Column) -> Column:
 def encode_word(table: Column, first: Column) -> Column:
     """array<int>: the ids of a word, from the ids of its bytes."""
 
-    def place(a: Column, k: Column) -> Column:
-        return _packed(rank_of(table, a, F.get(first, k + 1)), F.shiftleft(k.cast("bigint"), ID_BITS) + a)
+    def fold(first: Column) -> Column:
+        def place(a: Column, k: Column) -> Column:
+            return _packed(rank_of(table, a, F.get(first, k + 1)), F.shiftleft(k.cast("bigint"), ID_BITS) + a)
 
-    return F.aggregate(
-        F.slice(first, F.lit(2), F.lit(1 << 30)),  # a merge less than bytes at most
-        F.transform(first, place),
-        lambda state, _: merge_once(table, state),
-        lambda state: F.transform(state, lambda x: _id(x).cast("int")),
-    )
+        return F.aggregate(
+            F.slice(first, F.lit(2), F.lit(1 << 30)),  # a merge less than bytes at most
+            F.transform(first, place),
+            lambda state, _: merge_once(table, state),
+            lambda state: F.transform(state, lambda x: _id(x).cast("int")),
+        )
+
+    return _let(first, fold)
 
 
 def decode_ids(pieces: Column, ids: Column) -> Column:
-    """The bytes of ids, as hexadecimal digits: their pieces, concatenated."""
+    """The bytes of ids, as a string: their pieces, concatenated."""
     return F.array_join(F.transform(ids, lambda k: F.get(pieces, k)), "")
 
 
-def little_endian(ids: Column) -> Column:
-    """The ids as little-endian unsigned 32-bit integers, as hexadecimal digits."""
-
-    def digits(k: Column) -> Column:
-        return _let(F.lpad(F.hex(k), 8, "0"), lambda h: F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
-
-    return F.array_join(F.transform(ids, digits), "")
-
-
-# ------------------------------------------------------------------ blocks
-
-
-class _Words:
-    """Distinct words of a block, and the places of each text's words among them."""
-
-    def __init__(self, pattern) -> None:
-        self.pattern = pattern
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-
-    def _find(self, text: str) -> tuple[int, ...]:
-        words = self.words
-        return tuple([words.setdefault(w, len(words)) for w in self.pattern.findall(text)])
-
-    def add(self, text: str) -> np.ndarray:
-        """A match never crosses a lone space, so a text is looked up by the chunks between such spaces."""
-        parts = text.split(" ")
-        if "" in parts or len(parts) < 2 or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return np.array(self._find(text), "<i4")
-        out: list[int] = list(self._find(parts[0]))
-        chunks = self.chunks
-        for p in parts[1:]:
-            found = chunks.get(p)
-            if found is None:
-                found = self._find(" " + p)
-                if len(p) <= CHUNK_CHARS:
-                    chunks[p] = found
-            out += found
-        return np.array(out, "<i4")
-
-
-def blocks(docs: DataFrame, byte_ids: list[int]) -> DataFrame:
-    """(words, docs): a block's distinct words, as their bytes' ids, and (id, places) of its documents; of (id, text)."""
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import regex
-
-        pattern, to_id = regex.compile(public_tokenizers.PATTERN), np.array(byte_ids, np.int32)
-        held, rows, n = _Words(pattern), [], 0
-
-        def block() -> pa.RecordBatch:
-            words = [w.encode("utf-8", "surrogatepass") for w in held.words]
-            ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int32, len(words))))).astype(np.int32)
-            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(to_id[np.frombuffer(b"".join(words), np.uint8)]))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
-            starts = np.concatenate(([0], np.cumsum([len(p) for _, p in rows]))).astype(np.int32)
-            places = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([p for _, p in rows])))
-            own = pa.StructArray.from_arrays([pa.array([i for i, _ in rows], pa.int64()), places], ["id", "places"])
-            return pa.RecordBatch.from_arrays([whole, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), own)], ["words", "docs"])
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
-                rows.append((batch.column(0)[k].as_py(), held.add(text)))
-                n += len(text)
-                if n >= BLOCK_CHARS:
-                    yield block()
-                    held, rows, n = _Words(pattern), [], 0
-        if rows:
-            yield block()
-
-    return docs.mapInArrow(make, "words array<array<int>>, docs array<struct<id:bigint,places:array<int>>>")
-
-
-def encode_blocks(found: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
-    """A row for each document of the blocks: see :func:`encode`."""
-
-    def document(doc: Column, ids: Column, coded: Column, decoded: Column) -> Column:
-        places = doc["places"]
-
-        def whole(words: Column) -> Column:
-            return F.array_join(F.transform(places, lambda p: F.get(words, p)), "")
-
-        def row(code: Column, text: Column) -> Column:
-            out = [
-                doc["id"].alias("id"),
-                (F.length(code) / 8).cast("long").alias("n_tokens"),
-                F.sha2(F.unhex(code), 256).alias("ids_sha256"),
-                F.sha2(F.unhex(text), 256).alias("decoded_sha256"),
-            ]
-            if keep_ids:
-                out.append(F.flatten(F.transform(places, lambda p: F.get(ids, p))).cast("array<bigint>").alias("ids"))
-                out.append(F.unhex(text).alias("decoded"))
-            return F.struct(*out)
-
-        return _let(whole(coded), lambda code: _let(whole(decoded), lambda text: row(code, text)))
-
-    def documents(ids: Column) -> Column:
-        decoded = _let(piece_literal(ranks), lambda pieces: F.transform(ids, lambda x: decode_ids(pieces, x)))
-        return _let(
-            F.transform(ids, little_endian),
-            lambda coded: _let(decoded, lambda text: F.transform("docs", lambda d: document(d, ids, coded, text))),
-        )
+def coded(pieces: Column, numbers: Column, ids: Column) -> Column:
+    """(raw, text): ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+    return F.struct(decode_ids(numbers, ids).alias("raw"), decode_ids(pieces, ids).alias("text"))
+
+
+def from_raw(raw: Column) -> Column:
+    """array<bigint>: the ids of little-endian unsigned 32-bit integers."""
+
+    def one(i: Column) -> Column:
+        four = [F.substring(raw, i * 4 + k, F.lit(1)) for k in (4, 3, 2, 1)]
+        return F.conv(F.hex(F.concat(*four)), 16, 10).cast("bigint")
+
+    n = (F.octet_length(raw) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
+
+
+# ------------------------------------------------------------------ words
 
-    # each literal, and what is computed of a block, stands in the plan once; lambdas pass it on
-    ids = _let(pair_literal(ranks), lambda table: F.transform("words", lambda w: encode_word(table, w)))
-    return found.select(F.explode(_let(ids, documents)).alias("_d")).select("_d.*")
+
+def _unknown(spark: SparkSession, kind: str, like: str) -> str:
+    """Ranges of the characters that ``tiktoken`` takes for ``\\p{kind}`` and this JVM doesn't, as in a class."""
+    import public_tokenizers
+    import regex
+    import tiktoken
+
+    every = "".join(chr(k) for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000)
+    wanted = "".join(regex.findall(rf"\p{{{kind}}}", every))
+    left = spark._jvm.java.util.regex.Pattern.compile(rf"\p{{{kind}}}+").matcher(wanted).replaceAll("")
+    # one piece with a character of the kind shows in a merge across the two
+    ranks = {bytes([b]): b for b in range(256)} | {like.encode() + bytes([b]): 128 + b for b in range(128, 256)}
+    probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out: list[list[int]] = []
+    for k in sorted(map(ord, left)):
+        if probe.encode_ordinary(like + chr(k))[0] > 255:
+            if out and out[-1][1] == k - 1:
+                out[-1][1] = k
+            else:
+                out.append([k, k])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
+def java_pattern(pattern: str, letters: str = "", digits: str = "") -> str:
+    """The split pattern for Java, with more letters and digits."""
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}{letters}{digits}]")
+    for kind, more in ((r"\p{L}+", letters), (r"\p{N}+", digits)):
+        out = out.replace(" ?" + kind, f" ?[{kind[:-1]}{more}]+")
+    return out.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
+
+def words(spark: SparkSession, text: Column) -> Column:
+    """array<string>: the matches of the split pattern."""
+    import public_tokenizers
+
+    plain = java_pattern(public_tokenizers.PATTERN)
+    full = java_pattern(public_tokenizers.PATTERN, _unknown(spark, "L", "a"), _unknown(spark, "N", "1"))
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_ | ~text.rlike(f"[^{SETTLED}]"), found(plain)).otherwise(found(full))
+
+
+def first_ids(ranks: dict[bytes, int], word: Column) -> Column:
+    """array<int>: the ids of a word's bytes."""
+    of = F.lit([ranks[bytes([b])] for b in range(256)])
+    each = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+    ids = F.transform(each, lambda c: F.get(of, F.ascii(c)))
+    too_long = F.raise_error("a word of 2 ** 27 bytes or more").cast("array<int>")
+    return F.when(F.octet_length(word) >= 1 << PLACE_BITS, too_long).otherwise(ids)
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(HEAD_BUCKETS))
+
+
+def head(texts: DataFrame, ranks: dict[bytes, int], merges: Column, pieces: Column, numbers: Column) -> Column:
+    """The literal of the commonest words, coded."""
+    spark = texts.sparkSession
+    counts = cut(
+        texts.select(F.explode(words(spark, F.col("text"))).alias("k"))
+        .groupBy("k")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("k", F.floor(F.log2("n") * 8).cast("int").alias("level")),
+        "bpe-count",
+    )
+    # some hundred levels, whatever the input
+    levels = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, math.inf
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > HEAD:
+            break
+        least = level
+    common = counts.where(F.col("level") >= F.lit(float(least))).select("k", merges.alias("m"))
+    ids = _let(F.struct("k", "m"), lambda x: encode_word(x["m"], first_ids(ranks, x["k"])))
+    folded = common.select("k", ids.alias("ids"), pieces.alias("p"), numbers.alias("q"))
+    folded = cut(folded.select("k", _let(F.struct("ids", "p", "q"), lambda x: coded(x["p"], x["q"], x["ids"])).alias("v")), "bpe-head")
+    discard(counts)
+    return map_literal(folded, _bucket(F.col("k")), HEAD_BUCKETS)
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; with ``keep_ids`` ids and decoded bytes too."""
     ranks = read_ranks(ranks_path or default_ranks())
     check_ranks(ranks)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return encode_blocks(blocks(rows, [ranks[bytes([b])] for b in range(256)]), ranks, keep_ids)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table_of = spark.createDataFrame(pairs(ranks), "k long, v int")
+    merges = map_literal(table_of, F.col("k") % BUCKETS, BUCKETS)
+    by_id = {rank: piece for piece, rank in ranks.items()}
+    pieces, numbers = piece_literal(spark, by_id), piece_literal(spark, {k: k.to_bytes(4, "little") for k in by_id})
+    with_literals = rows.select(
+        "id",
+        words(spark, F.col("text")).alias("words"),
+        head(rows, ranks, merges, pieces, numbers).alias("head"),
+        merges.alias("merges"),
+        pieces.alias("pieces"),
+        numbers.alias("numbers"),
+    )
+
+    def document(x: Column) -> Column:
+        def one(w: Column) -> Column:
+            own = _let(encode_word(x["merges"], first_ids(ranks, w)), lambda ids: coded(x["pieces"], x["numbers"], ids))
+            return F.coalesce(F.get(x["head"], _bucket(w))[w], own)
+
+        def joined(found: Column) -> Column:
+            return F.struct(*[F.array_join(found[c], "").cast("binary").alias(c) for c in ("raw", "text")])
+
+        return _let(F.transform(x["words"], one), joined)
+
+    # one expression, so that Spark puts the literals into it and no row carries them
+    made = with_literals.select("id", _let(F.struct("words", "head", "merges", "pieces", "numbers"), document).alias("d"))
+    return made.select(
+        "id",
+        (F.octet_length("d.raw") / 4).cast("long").alias("n_tokens"),
+        F.sha2("d.raw", 256).alias("ids_sha256"),
+        F.sha2("d.text", 256).alias("decoded_sha256"),
+        *([from_raw(F.col("d.raw")).alias("ids"), F.col("d.text").alias("decoded")] if keep_ids else []),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
