@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow, cut, table
-from groundwork.llm.tokens import default_tokenizer, encoder
+from groundwork.llm.tokens import closed, default_tokenizer, encoder
 
 SIZE = 2048
 
@@ -94,28 +94,27 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str,
         from pyspark import TaskContext
 
         enc, task = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         ranks = np.zeros(size + 1, np.int64)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                at, start, length, crc, total, rank = [], [], [], [], [], []
-                for k, raw in enumerate(enc.encode(batch.column(1).to_pylist())):
-                    ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
-                    for a in range(0, len(ids), size):
-                        piece = ids[a : a + size]
-                        at.append(k)
-                        start.append(a)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        total.append(len(ids))
-                        rank.append(ranks[len(piece)])
-                        ranks[len(piece)] += 1
-                cols = [pa.array(v, pa.int64()) for v in (start, length, crc, total, [task] * len(at), rank)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *cols],
-                    ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
-                )
+        for batch in batches:
+            ids, edge = closed(enc, batch.column(1), end_id)
+            total = np.diff(edge)
+            count = -(-total // size)
+            at = np.repeat(np.arange(len(total)), count)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) * size
+            length = np.minimum(total[at] - start, size)
+            wide, first = memoryview(ids.astype("<u4")), edge[at] + start
+            crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+            # the rank of a piece among those of its length, over the whole task
+            order = np.argsort(length, kind="stable")
+            kinds, begin, n = np.unique(length[order], return_index=True, return_counts=True)
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at)) - np.repeat(begin - ranks[kinds], n)
+            ranks[kinds] += n
+            cols = [pa.array(v, pa.int64()) for v in (start, length, crc, total[at], np.full(len(at), task), rank)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), *cols],
+                ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import cut, partitions, scratch, table
-from groundwork.llm.tokens import default_tokenizer, encoder
+from groundwork.llm.tokens import closed, default_tokenizer, encoder
 
 INDEX = "shard int, stem string, dtype string, docs long, nulls long, tokens long"
 
@@ -58,20 +58,16 @@ def write_tokens(
         fs, at = _open(stem)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         enc = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         docs_n = nulls = tokens = 0
         with fs.open_output_stream(f"{at}.ids") as ids, fs.open_output_stream(f"{at}.off") as off, fs.open_output_stream(f"{at}.doc") as doc:
             off.write(np.zeros(1, "<i8").tobytes())
             batch: pa.RecordBatch | None = first
             while batch is not None:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    got = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                    ids.write(b"".join(got))
-                    ends = tokens + np.cumsum([len(x) // enc.dtype.itemsize for x in got])
-                    off.write(ends.astype("<i8").tobytes())
-                    doc.write(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    docs_n, tokens, nulls = docs_n + len(got), int(ends[-1]), nulls + part.column(0).null_count
+                got, at = closed(enc, batch.column(1), end_id)
+                ids.write(got.tobytes())
+                off.write((tokens + at[1:]).astype("<i8").tobytes())
+                doc.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                docs_n, tokens, nulls = docs_n + batch.num_rows, tokens + int(at[-1]), nulls + batch.column(0).null_count
                 batch = next(batches, None)
         row = {"shard": [shard], "stem": [stem], "dtype": [enc.dtype.str], "docs": [docs_n], "nulls": [nulls], "tokens": [tokens]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("stem", pa.string()), ("dtype", pa.string()), ("docs", pa.int64()), ("nulls", pa.int64()), ("tokens", pa.int64())]))

@@ -1,13 +1,14 @@
 """Token ids of whole texts, with the ``tokenizers`` library, at several times its plain speed.
 
 A byte-level BPE with the usual split pattern never lets a token cross a lone space or newline
-between two characters that aren't white space. A text is therefore cut there, each distinct chunk
-is encoded once per worker, and the ids are joined. Texts that hold an added token or NUL, and
-tokenizers of another kind, are given to the library whole. The ids are the same either way.
-
-New chunks are merged by the ranks of the same file with ``tiktoken``, several times as fast again.
-That gives the library's ids where the file lists its merges in the order of the ids they make, as
-byte-level files do and :func:`rank_engine` checks; otherwise chunks go to the library too.
+between two characters that aren't white space. A batch of texts is therefore cut there by array
+operations, equal chunks are found by Arrow's dictionary encoding, and each distinct chunk is encoded
+once for as long as a worker remembers it.
+
+The library's own BPE model turns a chunk's pieces into ids. A chunk of ASCII and Latin letters is
+split into pieces by the public pattern here; any other chunk, a text that holds an added token, and
+tokenizers of another kind are given to the library whole. The ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)`` either way.
 """
 
 from __future__ import annotations
@@ -15,16 +16,28 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
-
-#: Chunks that a worker remembers at most (about 150 MB).
-CACHE = 600_000
-#: Characters of text whose chunks are held at once.
-SLICE_CHARS = 1 << 20
-
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks, and pieces, in each of the two generations that a worker remembers.
+CACHE = 200_000
+#: Characters up to which a chunk is remembered.
+CACHED_CHARS = 64
+#: Bytes of text that are cut at once; a longer text comes alone.
+SLICE_BYTES = 8 << 20
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Second bytes of three-byte white space.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0x80, 0x81, 0x9A, 0xA0]] = True
+#: Characters whose place in the split pattern is the same in every Unicode version.
+_PLAIN = re.compile("[\n -~À-ÖØ-öø-ɏ]+")
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -41,121 +54,134 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def rank_engine(spec: dict):
-    """A ``tiktoken`` encoding of a byte-level BPE file, or None where ranks don't stand for its merges."""
-    import public_tokenizers
-    import tiktoken
-
-    vocab, letters = spec["model"]["vocab"], byte_letters()
-    added = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {}
-    for token, k in vocab.items():
-        if token not in added:
-            if not all(c in letters for c in token):
-                return None
-            ranks[bytes(letters[c] for c in token)] = k
-    last = -1
-    for merge in spec["model"]["merges"]:
-        k = vocab.get("".join(merge if isinstance(merge, list) else merge.split(" ")), -1)
-        if k <= last:
-            return None
-        last = k
-    if len(spec["model"]["merges"]) + 256 != len(ranks) or any(ranks.get(bytes([b]), 256) > 255 for b in range(256)):
-        return None
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Chunk edges: those of the texts and every lone space or newline between other characters."""
+    edges = offsets[np.concatenate(([True], offsets[1:] != offsets[:-1]))]
+    if len(data) < 3:
+        return edges
+    at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    at = at[~_SPACE[data[at - 1]] & ~_SPACE[data[at + 1]]]
+    # white space of several bytes on either side, or what looks like it
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    odd = (one >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & _WIDE[two]))
+    one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    odd |= (one == 0xC2) | ((one >= 0xE1) & (one <= 0xE3) & _WIDE[two])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = at[~odd & ~edge[at] & ~edge[at + 1]]
+    return np.sort(np.concatenate((edges, at)), kind="stable")
 
 
 class Encoder:
-    """Encodes texts to the bytes of little-endian unsigned ids of ``dtype``."""
+    """Encodes texts to little-endian unsigned ids of ``dtype``."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         spec = json.loads(Path(path).read_text())
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.chunked = (
-            spec["model"]["type"] == "BPE"
+            model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
             and not spec.get("normalizer")
             and not spec.get("truncation")
         )
-        self.engine = rank_engine(spec) if self.chunked else None
-        self.newline = self._plain("\n")
-        self.chunked &= len(self.newline) == self.dtype.itemsize
-        # a chunk stands for itself after a space, but for itself alone after "\n" (part of it) or NUL (not part of it)
-        self.cache: dict[str, bytes] = {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        """Ids of a text without added tokens."""
-        return np.array(self.engine.encode_ordinary(text), self.dtype).tobytes() if self.engine else self._plain(text)
-
-    def _chunks(self, text: str) -> tuple[list[str], bool] | None:
-        """The chunks and whether the first holds one newline too many; None: give it to the library."""
-        if not self.chunked or "\0" in text or any(a in text for a in self.added):
-            return None
-        flat = text.replace("\n", " ")
-        if " ".join(flat.split()) == flat:
-            return ("\n" + text.replace("\n", " \n")).split(" "), True
-        first, *rest = _CUT.split(text)
-        return ["\0" + first, *[c[1:] if c[0] == " " else c for c in rest]], False
-
-    def _learn(self, chunks: set[str]) -> None:
-        after_space, after_line = [], []
-        for c in chunks:
-            if c.split() == [c]:
-                (after_line if c[0] == "\0" else after_space).append(c)
-            elif c[0] == "\n" and c[1:].split() == [c[1:]]:
-                after_line.append(c)
+    def _remember(self, text: str, found: bytes) -> bytes:
+        """When the younger generation is full, the older is forgotten."""
+        if len(text) <= CACHED_CHARS:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[text] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.young.get(piece) or self.old.get(piece)
+        if found is None:
+            found = self._remember(piece, self._model(piece))
+        return found
+
+    def _model(self, piece: str) -> bytes:
+        """Ids of one match of the split pattern."""
+        if piece.isascii():
+            letters = piece.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def _chunk(self, text: str, whole: bool) -> bytes:
+        found = self.young.get(text)
+        if found is not None:
+            return found
+        found = self.old.get(text)
+        if found is None:
+            if whole or not _PLAIN.fullmatch(text):
+                found = self._plain(text)
+            elif _WORD.fullmatch(text):
+                found = self._model(text)
             else:
-                self.cache[c] = self._piece(c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c)
-        size = self.dtype.itemsize
-        for group, text in ((after_space, "\n".join([" " + c for c in after_space])), (after_line, "\n".join([c[1:] for c in after_line]))):
-            if not group:
-                continue
-            raw = self._piece(text)
-            ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.newline, self.dtype)[0]) * size
-            if len(ends) != len(group) - 1:  # an empty chunk among them, say
-                raise AssertionError("chunks and ids differ in number")
-            at = 0
-            for c, end in zip(group, [*ends.tolist(), len(raw)], strict=True):
-                self.cache[c] = (self.newline if c[0] == "\n" else b"") + raw[at:end]
-                at = end + size
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null: none."""
-        out: list[bytes] = []
-        k = 0
-        while k < len(texts):
-            n, begin = 0, k
-            while k < len(texts) and n < SLICE_CHARS:
-                n += len(texts[k] or "")
-                k += 1
-            cut = [self._chunks(t) if t else None for t in texts[begin:k]]
-            need: set[str] = set()
-            for c in cut:
-                if c:
-                    need.update(c[0])
-            if len(self.cache) + len(need) > CACHE:
-                self.cache.clear()
-            if new := need - self.cache.keys():
-                self._learn(new)
-            get, size = self.cache.__getitem__, self.dtype.itemsize
-            for t, c in zip(texts[begin:k], cut, strict=True):
-                if not c:
-                    out.append(self._plain(t) if t else b"")
-                else:
-                    ids = b"".join(map(get, c[0]))
-                    out.append(ids[size:] if c[1] else ids)
-        return out
+                found = b"".join([self._piece(p) for p in self.split(text)])
+        return self._remember(text, found)
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of ``data`` and where each begins; ``whole``: texts that aren't cut."""
+        edges = cuts(data, offsets)
+        if whole.any():
+            text = np.searchsorted(offsets, edges, "right") - 1
+            inner = whole[np.minimum(text, len(whole) - 1)] & (edges != offsets[text])
+            edges = edges[~inner]
+        chunks = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(data)]
+        ).dictionary_encode()
+        odd = bool(whole.any())
+        codes = [self._chunk(c.decode("utf-8", "surrogatepass"), odd) for c in chunks.dictionary.to_pylist()]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        at = chunks.indices.to_numpy()
+        own = size[at]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join(codes), self.dtype)[np.repeat(first[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(edges, offsets)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), end to end, and the n + 1 places where each begins."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        n = len(texts)
+        whole = np.zeros(n, bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not self.chunked:
+            whole[:] = True
+        offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        parts, places, done, k = [], [np.zeros(1, np.int64)], 0, 0
+        while k < n:
+            e = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE_BYTES, "right")) - 1)
+            own = offsets[k : e + 1]
+            ids, at = self._slice(data[own[0] : own[-1]], own - own[0], whole[k:e])
+            parts.append(ids)
+            places.append(at[1:] + done)
+            done += len(ids)
+            k = e
+        return np.concatenate(parts) if parts else np.zeros(0, self.dtype), np.concatenate(places)
 
 
 def encoder(path: str) -> Encoder:
@@ -163,3 +189,18 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def closed(enc: Encoder, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """As :meth:`Encoder.encode`, with ``end_id`` after every text."""
+    ids, at = enc.encode(texts)
+    if end_id is None:
+        return ids, at
+    n = len(at) - 1
+    out = np.empty(len(ids) + n, enc.dtype)
+    new = at + np.arange(n + 1)
+    mask = np.ones(len(out), bool)
+    mask[new[1:] - 1] = False
+    out[mask] = ids
+    out[~mask] = end_id
+    return out, new
