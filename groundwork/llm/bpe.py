@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut, discard, table
+from groundwork.llm.common import cut, discard, id_text, table
 
 #: Distinct words that are folded once and looked up, at most.
 HEAD = 1 << 18
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     ranks = read_ranks(ranks_path or default_ranks())
     check_ranks(ranks)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = id_text(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     table_of = spark.createDataFrame(pairs(ranks), "k long, v int")
     merges = map_literal(table_of, F.col("k") % BUCKETS, BUCKETS)
     by_id = {rank: piece for piece, rank in ranks.items()}

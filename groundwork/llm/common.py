@@ -6,7 +6,6 @@ that the session names in ``spark.checkpoint.dir`` and read back (:func:`cut`).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,17 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = f"{8 << 20}b"
+#: Spark's own default, of which a dozen copies don't fit an executor.
+SPARK_BYTES = f"{64 << 20}b"
 #: Most rows of one key that one task compares at a time; larger keys are split into blocks.
 BLOCK_ROWS = 2048
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The shared folder: ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="groundwork-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/groundwork-scratch"
     return root if "://" in root or not root.startswith("/") else "file://" + root
 
 
@@ -54,6 +55,18 @@ def remove(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, however long the rows are; a larger row comes alone."""
+    limit_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch that goes to Python, unless the session has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SPARK_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,7 +82,34 @@ def arrow(
                 out = fn(batch.slice(k, rows))
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
-    return df.mapInArrow(each, schema)
+    return bounded(df, each, schema)
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the corpus: never broadcast, so that a plan is the same at every size."""
+    return df.hint("merge")
+
+
+def by_position(df: DataFrame, *names: str) -> tuple:
+    """``df`` with columns c0, c1, ... and what ``names`` are called there; so no name of a caller's clashes with ours.
+
+    A name is found as it is written, else in any case.
+    """
+    cols = df.columns
+    low = [c.lower() for c in cols]
+    at = [cols.index(n) if n in cols else low.index(n.lower()) for n in names]
+    return df.toDF(*[f"c{k}" for k in range(len(cols))]), *[f"c{k}" for k in at]
+
+
+def own_columns(out: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` of a frame made from :func:`by_position`, under their names."""
+    return out.select(*[f"c{k}" for k in range(len(like.columns))]).toDF(*like.columns)
+
+
+def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id long, text) of every row."""
+    rows, i, t = by_position(docs, id_col, text_col)
+    return rows.select(F.col(i).cast("long").alias("id"), F.col(t).alias("text"))
 
 
 def partitions(spark: SparkSession) -> int:

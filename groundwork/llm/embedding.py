@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import Forest, arrow, blocked, components, cut, key_groups, table
+from groundwork.llm.common import Forest, arrow, blocked, bounded, by_position, components, cut, key_groups, table
 
 TABLES, BITS, SEED = 16, 13, 20240
 
@@ -144,12 +144,8 @@ def _found(entries: DataFrame, threshold: float, tables: int, bits: int) -> Data
                     [pa.array(a), pa.array(b, mask=n >= 0), pa.array(n, mask=n < 0)], ["a", "b", "n"]
                 )
 
-    return (
-        blocked(entries, "key", "rep", 1024)
-        .repartition("key", "blk")
-        .sortWithinPartitions("key", "blk", "side")
-        .mapInArrow(compare, "a long, b long, n long")
-    )
+    units = blocked(entries, "key", "rep", 1024).repartition("key", "blk").sortWithinPartitions("key", "blk", "side")
+    return bounded(units, compare, "a long, b long, n long")
 
 
 def embedding_links(
@@ -163,7 +159,8 @@ def embedding_links(
     """(id, n_links, component_id, kept) for every row; see the module for the defined cases."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    rows = _digests(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
+    named, i, v = by_position(df, id_col, vec_col)
+    rows = _digests(named.select(F.col(i).cast("long").alias("id"), F.col(v).alias("vec")))
     ids = cut(rows.select("id", "digest"), "emb-id")
     ok = ids.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).distinct()
     classes = cut(ok.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "emb-class")

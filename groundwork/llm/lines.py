@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, cut, table
+from groundwork.llm.common import arrow, by_position, cut, grown, id_text, limit_batches, own_columns, table
 
 WINDOW = 2
 #: A boundary follows a line if the rolling hash's top bits are zero: one line in 2 ** BOUNDARY_BITS.
@@ -143,14 +143,12 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, at): windows, by place, whose bytes stand in an earlier place."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
-    )
+    texts = id_text(docs, id_col, text_col).where("id IS NOT NULL").select("id", F.xxhash64("text").alias("t"), "text")
     places = cut(_places(texts), "line-places")
     again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("h").alias("_h"))
     twice = places.join(again, F.col("h") == F.col("_h")).select("id", "t", "at")
     need = twice.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("at").alias("need"))
-    wanted = texts.join(need, (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t")))
+    wanted = texts.join(grown(need), (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t")))
     data = cut(_bytes(wanted), "line-bytes")
     first = F.min(F.struct("id", "at")).alias("first")
     by_hash = cut(
@@ -167,35 +165,35 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.unionAll(rest.select("id", "t", "at")).distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated windows removed from the text, and ``_removed``, the windows' places (null: none)."""
-    gone = (
-        repeats(docs, id_col, text_col)
-        .groupBy(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t"))
-        .agg(F.collect_set("at").alias("_removed"))
-    )
+def _dedup(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` by position, with ``text``, what is left, and ``removed``, the windows' places (null: none); and its id and text."""
+    limit_batches(docs.sparkSession)
+    gone = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("at").alias("removed"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or r is None else without(t, set(r)) for t, r in zip(texts, removed, strict=True)], dtype=object)
 
-    same = (F.col(id_col).cast("long") == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_t"))
-    out = docs.join(gone, same, "left").drop("_gone_id", "_gone_t")
-    return out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(rest(F.col(text_col), F.col("_removed"))))
+    rows, i, t = by_position(docs, id_col, text_col)
+    same = (F.col(i).cast("long") == F.col("_id")) & (F.xxhash64(t) == F.col("_t"))
+    out = rows.join(grown(gone), same, "left").drop("_id", "_t")
+    loses = F.col("removed").isNotNull()
+    left = rest(F.when(loses, F.col(t)), F.col("removed"))  # other texts don't go to Python
+    return out.withColumn("text", F.when(loses, left).otherwise(F.col(t))), i, t
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, same columns, without the windows of lines that stand in an earlier place."""
-    return dedup(docs, id_col, text_col).drop("_removed")
+    out, _, t = _dedup(docs, id_col, text_col)
+    return own_columns(out.withColumn(t, F.col("text")), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = dedup(docs)
+    out, i, t = _dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select(
-        "doc_id",
+        F.col(i).alias("doc_id"),
         "text",
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-        (F.col("n_bytes") - F.octet_length("text")).cast("long").alias("n_removed_bytes"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        (F.octet_length(t) - F.octet_length("text")).cast("long").alias("n_removed_bytes"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed_chunks"),
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, table
+from groundwork.llm.common import arrow, id_text, table
 
 RATE, PACKET, CHANNELS = 8000, 4096, 2
 CONTINUED, BEGIN, END = 1, 2, 4
@@ -239,8 +239,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ["id", "n_bytes", "media"],
         )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return arrow(rows, each, "id long, n_bytes long, media binary", 256)
+    return arrow(id_text(docs, id_col, text_col), each, "id long, n_bytes long, media binary", 256)
 
 
 def read_media(media: DataFrame) -> DataFrame:

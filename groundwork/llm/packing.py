@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, cut, table
+from groundwork.llm.common import arrow, bounded, cut, id_text, table
 from groundwork.llm.tokens import closed, default_tokenizer, encoder
 
 SIZE = 2048
@@ -116,9 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str,
                 ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
-        each, "id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
+    return bounded(
+        id_text(docs, id_col, text_col), each, "id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
     )
 
 

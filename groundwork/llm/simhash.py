@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import Forest, arrow, blocked, components, cut, key_groups, table
+from groundwork.llm.common import Forest, arrow, blocked, bounded, by_position, components, cut, grown, id_text, key_groups, own_columns, table
 
 WIDTH = 64
 #: Fingerprints of one key that one task compares at a time.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], "<u8").view("<i8")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
-    return arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), each, "id long, fp long")
+    return arrow(id_text(docs, id_col, text_col), each, "id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -170,21 +170,24 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     units = blocked(keyed, "key", "fp", BLOCK_ROWS)
-    return (
-        units.repartition("key", "blk").sortWithinPartitions("key", "blk", "side").mapInArrow(compare, "a long, b long")
-    )
+    return bounded(units.repartition("key", "blk").sortWithinPartitions("key", "blk", "side"), compare, "a long, b long")
 
 
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42
 ) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; see the module for the defined cases."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-class")
-    comps = components(cut(links(classes.where(F.col("rep").isNotNull()), distance), "simhash-link"), "simhash-cc")
-    placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
+    return components_of(cut(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp"), distance)
+
+
+def components_of(fps: DataFrame, distance: int) -> DataFrame:
+    """(id, fp, component_id) of fingerprints (id, fp); a component of null ids alone has a null one."""
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.col("fp")), "simhash-class")
+    # linked by fingerprint, so that one which only null ids have still joins its neighbours
+    comps = components(cut(links(classes.select("fp", "rep"), distance), "simhash-link"), "simhash-cc")
+    joined = cut(classes.join(comps, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("c")), "simhash-placed")
+    least = joined.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("component_id"))
+    placed = joined.join(least, F.col("c") == F.col("_c")).select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(placed, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
 
 
@@ -268,7 +271,7 @@ def _compared(units: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return units.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "side").mapInArrow(compare, "a long, b long")
+    return bounded(units.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "side"), compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,23 +280,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Candidates share a band of least hashes. Each is confirmed against the commonest least member of its
     bands; bands that still hold more than one component are then compared in full, in blocks.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
-    )
+    texts = id_text(docs, id_col, text_col).where("id IS NOT NULL").select("id", F.xxhash64("text").alias("t"), "text")
     rows = cut(_sketches(texts), "near-sketch")
     classes = cut(rows.groupBy("s").agg(F.min(F.struct("id", "t", "keys")).alias("m")).select("s", "m.*"), "near-class")
     keyed = classes.select(F.col("id").alias("rep"), "t", F.explode("keys").alias("key"))
     first = F.min(F.struct("rep", "t")).alias("first")
     shared = keyed.groupBy(F.col("key").alias("_k")).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keyed.join(shared, F.col("key") == F.col("_k")).select("key", "rep", "t", "first"), "near-member")
+    members = cut(keyed.join(grown(shared), F.col("key") == F.col("_k")).select("key", "rep", "t", "first"), "near-member")
     edges = cut(members.where(F.col("first") < F.struct("rep", "t")).groupBy("rep", "t").agg(F.mode("first").alias("f")).select("rep", "t", "f.*").toDF("a", "ta", "b", "tb"), "near-edge")
     nodes = members.select("rep", "t").distinct().toDF("_i", "_t")
     own = cut(
-        texts.join(nodes, (F.col("id") == F.col("_i")) & (F.col("t") == F.col("_t"))).select("id", "t", "text").dropDuplicates(["id", "t"]), "near-text"
+        texts.join(grown(nodes), (F.col("id") == F.col("_i")) & (F.col("t") == F.col("_t"))).select("id", "t", "text").dropDuplicates(["id", "t"]), "near-text"
     )
     one, other = own.toDF("_ia", "_ta", "text_a"), own.toDF("_ib", "_tb", "text_b")
-    pairs = edges.join(one, (F.col("a") == F.col("_ia")) & (F.col("ta") == F.col("_ta")))
-    pairs = pairs.join(other, (F.col("b") == F.col("_ib")) & (F.col("tb") == F.col("_tb")))
+    pairs = edges.join(grown(one), (F.col("a") == F.col("_ia")) & (F.col("ta") == F.col("_ta")))
+    pairs = pairs.join(grown(other), (F.col("b") == F.col("_ib")) & (F.col("tb") == F.col("_tb")))
     sure = cut(_confirmed(pairs), "near-link")
     comps = components(sure, "near-cc").toDF("_n", "_c")
     placed = members.join(comps, F.col("rep") == F.col("_n"), "left").select("key", "rep", "t", F.coalesce("_c", "rep").alias("comp"))
@@ -308,12 +309,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     left = cut(placed.join(open_, F.col("key") == F.col("_k")).select(F.col("key").alias("grp"), "rep", "t", "comp"), "near-open")
     units = blocked(left, "grp", "rep", COMPARE_ROWS)
-    units = units.join(own.toDF("_i", "_t", "text"), (F.col("rep") == F.col("_i")) & (F.col("t") == F.col("_t")))
+    units = units.join(grown(own.toDF("_i", "_t", "text")), (F.col("rep") == F.col("_i")) & (F.col("t") == F.col("_t")))
     more = cut(_compared(units.select("grp", "blk", "side", "rep", "comp", "text")), "near-more")
     comps = components(sure.unionAll(more), "near-all").toDF("_n", "_c")
     of = classes.select(F.col("s").alias("_s"), F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("_n"), "left")
     of = cut(of.select("_s", F.coalesce("_c", "rep").alias("component_id")), "near-of")
-    return rows.join(of, F.col("s") == F.col("_s")).select("id", "component_id")
+    return rows.join(grown(of), F.col("s") == F.col("_s")).select("id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,11 +324,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keep = jaccard_components(docs, id_col, text_col).where(F.col("id") == F.col("component_id"))
     keep = cut(keep.select(F.col("id").alias("_keep")).distinct(), "near-keep")
-    return (
-        docs.join(keep, F.col(id_col) == F.col("_keep"), "left")
-        .where(F.col(id_col).isNull() | F.col("_keep").isNotNull())
-        .drop("_keep")
-    )
+    rows, own = by_position(docs, id_col)
+    out = rows.join(grown(keep), F.col(own).cast("long") == F.col("_keep"), "left").where(F.col(own).isNull() | F.col("_keep").isNotNull())
+    return own_columns(out, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut, partitions, scratch, table
+from groundwork.llm.common import bounded, cut, id_text, partitions, scratch, table
 from groundwork.llm.tokens import closed, default_tokenizer, encoder
 
 INDEX = "shard int, stem string, dtype string, docs long, nulls long, tokens long"
@@ -72,10 +72,9 @@ def write_tokens(
         row = {"shard": [shard], "stem": [stem], "dtype": [enc.dtype.str], "docs": [docs_n], "nulls": [nulls], "tokens": [tokens]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("stem", pa.string()), ("dtype", pa.string()), ("docs", pa.int64()), ("nulls", pa.int64()), ("tokens", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards or partitions(spark), "id", "tie").sortWithinPartitions("id", "tie", "text")
-    index = cut(rows.select("id", "text").mapInArrow(write, INDEX), "token-index")
+    index = cut(bounded(rows.select("id", "text"), write, INDEX), "token-index")
     # a row a shard: the window's one partition is as long as there are shards
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return index.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
@@ -129,7 +128,7 @@ def read_tokens(index: DataFrame, with_ids: bool = False) -> DataFrame:
 
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     n = partitions(index.sparkSession)
-    return index.repartition(n, "shard").mapInArrow(read, schema)
+    return bounded(index.repartition(n, "shard"), read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow, table
+from groundwork.llm.common import arrow, bounded, by_position, id_text, limit_batches, own_columns, table
 
 BITS, SIZES = 20, (4, 5)
 MIN_DOCS, MIN_RATIO = 5, 1.0
@@ -86,8 +86,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids, n[0, ids], n[1, ids])], ["bucket", "n0", "n1"])
 
     found = (
-        rows.select("text", "toxic")
-        .mapInArrow(each, "bucket long, n0 long, n1 long")
+        bounded(rows.select("text", "toxic"), each, "bucket long, n0 long, n1 long")
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where((F.col("n0") + F.col("n1") >= MIN_DOCS) | (F.col("bucket") == 1 << BITS))
@@ -120,10 +119,11 @@ def _fit(ids: np.ndarray, row: np.ndarray, y: np.ndarray, ratio: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labelled rows of ``docs`` that aren't held out; labels carry the same id column."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(
-        F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("toxic")
+    marks, i, y = by_position(labels, id_col, label_col)
+    known = marks.where(F.col(y).isin(0, 1) & F.col(i).isNotNull() & ~held_out(i)).select(
+        F.col(i).cast("long").alias("_id"), F.col(y).cast("int").alias("toxic")
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("text"))
+    texts = id_text(docs, id_col, text_col).select(F.col("id").alias("_d"), "text")
     small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     rows = texts.join(F.broadcast(known) if small else known, F.col("_d") == F.col("_id"))
     total, n = _counts(rows)
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the model's score of every text."""
+    limit_batches(docs.sparkSession)
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
 
     @F.pandas_udf("double")
@@ -167,15 +168,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     model = train(docs, labels, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = score(rows, model)
+    out = score(id_text(docs, id_col, text_col), model)
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject."""
     model = train(docs, labels, id_col, text_col)
-    return score(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    rows, text = by_position(docs, text_col)
+    return own_columns(score(rows, model, text, "_toxicity").where(F.col("_toxicity") < THRESHOLD), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

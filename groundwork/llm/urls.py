@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut, discard, table
+from groundwork.llm.common import cut, discard, id_text, table
 
 RULES = (
     ("block", "com", "/en/"),
@@ -144,7 +144,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity) of every row; labels are (id, good)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = id_text(pages, id_col, url_col).select("id", host_of(F.col("text")).alias("host"), path_of(F.col("text")).alias("path"))
     rows = rows.withColumn("shape", shape_of(F.col("path")))
     found = cut(templates(rows, labels), "url-templates").select(
         F.col("host").alias("_h"), F.col("shape").alias("_s"), "template", "purity"

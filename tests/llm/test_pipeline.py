@@ -4,24 +4,30 @@ from test_suffix import brute as brute_spans  # noqa: F401
 from test_tokens import check_packs
 
 import corpus_pipeline
-from groundwork.llm import simhash, suffix, toxicity
+from groundwork.llm import suffix, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
 def one_of_each(rows):
-    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
-    root = {i: i for i in fps}
+    """The first of each group of texts that a chain of exact similarities of 0.8 or more joins."""
+
+    def five(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = {i: five(t) for i, t in rows}
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(fps)
+    ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (fps[a] ^ fps[b]).bit_count() <= simhash.NEAR_BITS:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [(i, t) for i, t in rows if find(i) == i]

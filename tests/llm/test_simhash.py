@@ -145,3 +145,13 @@ def test_near_dedup_goes_by_exact_similarity(spark):
     assert sum(0.8 <= j < 0.9 for j in jac.values()) > 10 and min(jac.values()) < 0.75
     got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_a_null_id_joins_its_neighbours(spark):
+    """Components over fingerprints: what only a null id has still links the ones on either side."""
+    import pyspark.sql.functions as F
+
+    fps = [(1, 0), (None, 0b111), (2, 0b11111), (3, 1 << 40 | 0xFF << 20)]
+    rows = spark.createDataFrame(fps, "id long, fp long")
+    got = {(r.id, r.fp): r.component_id for r in simhash.components_of(rows, 4).select("id", F.col("fp"), "component_id").collect()}
+    assert got == {(1, 0): 1, (None, 0b111): 1, (2, 0b11111): 1, (3, 1 << 40 | 0xFF << 20): 3}
