@@ -149,35 +149,35 @@ def search_trace(spark, sf):
 
 # ------------------------------------------------------------------ verification
 
-_CASES = f"""s0 AS (SELECT doc_id, unnest({Q.sentences("text")}) AS text, generate_subscripts({Q.sentences("text")}, 1) - 1 AS pos FROM documents
-  WHERE len({Q.numbers("text")}) > 0),
-said AS (SELECT doc_id AS answer_id, pos, CASE WHEN doc_id % 6 = 4 THEN '   ' ELSE text END AS text,
-  CASE doc_id % 6 WHEN 0 THEN [doc_id || ':chunk:0'] WHEN 1 THEN [(doc_id + 1) || ':chunk:0'] WHEN 2 THEN []::VARCHAR[]
-  WHEN 3 THEN ['none:chunk:0'] WHEN 4 THEN [doc_id || ':chunk:0'] ELSE [doc_id || ':chunk:0', doc_id || ':chunk:0'] END AS ids FROM s0),
-ev AS (SELECT a.answer_id, c.doc_id AS rk, c.chunk_id, c.text FROM (SELECT DISTINCT answer_id FROM said) a
-  JOIN chunks c ON c.pos = 0 AND (c.doc_id = a.answer_id OR c.doc_id = a.answer_id + 1))"""
+_CASES = f"""s0 AS (SELECT doc_id, chunk_id, pos AS place, unnest({Q.sentences("text")}) AS text, generate_subscripts({Q.sentences("text")}, 1) - 1 AS pos
+  FROM chunks),
+said AS (SELECT chunk_id AS answer_id, pos, CASE WHEN doc_id % 6 = 4 THEN '   ' ELSE text END AS text,
+  CASE doc_id % 6 WHEN 1 THEN [doc_id || ':chunk:' || (place + 1)] WHEN 2 THEN []::VARCHAR[] WHEN 3 THEN ['none:chunk:0']
+  WHEN 5 THEN [chunk_id, chunk_id] ELSE [chunk_id] END AS ids FROM s0),
+ev AS (SELECT a.chunk_id AS answer_id, c.pos AS rk, c.chunk_id, c.text FROM chunks a JOIN chunks c ON c.doc_id = a.doc_id AND c.pos IN (a.pos, a.pos + 1))"""
 
 
 def _cases(spark, sf):
-    """Sentences of documents with numbers, citing by doc_id mod 6: own, next, nothing, unknown, own though blank, own twice."""
-    own, after = (F.concat((F.col("doc_id") + k).cast("string"), F.lit(":chunk:0")) for k in (0, 1))
-    kind = F.col("doc_id") % 6
-    docs = table(spark, sf, "documents").where(F.size(T.numbers(F.col("text"))) > 0)
-    said = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text")).select(
-        F.col("doc_id").alias("answer_id"),
+    """The sentences of every chunk of every document, citing by doc_id mod 6: own, next, nothing, unknown, own though blank, own twice.
+
+    Retrieved are the own chunk and the next; the last one's next doesn't exist.
+    """
+    chunks = doc_chunks(spark, sf)
+    named = lambda p: F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("chunk"), p.cast("string"))
+    kind, own = F.col("doc_id") % 6, F.col("chunk_id")
+    said = chunks.select("doc_id", "chunk_id", F.col("pos").alias("place"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "text")).select(
+        own.alias("answer_id"),
         F.col("pos").cast("long").alias("pos"),
         F.when(kind == 4, "   ").otherwise(F.col("text")).alias("text"),
-        F.when(kind == 1, F.array(after))
+        F.when(kind == 1, F.array(named(F.col("place") + 1)))
         .when(kind == 2, F.array().cast("array<string>"))
         .when(kind == 3, F.array(F.lit("none:chunk:0")))
         .when(kind == 5, F.array(own, own))
         .otherwise(F.array(own))
         .alias("ids"),
     )
-    first = doc_chunks(spark, sf).where("pos = 0").select(F.col("doc_id").alias("_d"), "chunk_id", "text")
-    near = said.select("answer_id").distinct().withColumn("_want", F.explode(F.array("answer_id", F.col("answer_id") + 1)))
-    retrieved = near.join(first, F.col("_want") == F.col("_d")).select("answer_id", F.col("_d").cast("int").alias("rk"), "chunk_id", "text")
-    return said, retrieved
+    near = chunks.withColumn("_for", F.explode(F.array("pos", F.col("pos") - 1))).where("_for >= 0")
+    return said, near.select(named(F.col("_for")).alias("answer_id"), F.col("pos").cast("int").alias("rk"), "chunk_id", "text")
 
 
 @query("verify_reasons", Q.with_(Q.chunks(), _CASES, Q.verified(), select="SELECT * FROM verified"))
@@ -226,6 +226,23 @@ def answer_decision(spark, sf):
     return grounding.decide(answers, grounding.verify(said, ev, 0.05))
 
 
+@query(
+    "eval_claim_rates",
+    Q.with_(
+        _TURNS,
+        Q.verified(0.05),
+        f"decided AS ({_DECIDE})",
+        select="""SELECT count(*) AS n_answers, count(*) FILTER (abstained) AS n_abstained, sum(n_sentences)::BIGINT AS total_sentences,
+        sum(n_sentences - unsupported_sentence_count)::BIGINT AS supported_sentences,
+        round(sum(n_sentences - unsupported_sentence_count)::DOUBLE / sum(n_sentences), 4) AS citation_coverage,
+        round(sum(unsupported_sentence_count)::DOUBLE / sum(n_sentences), 4) AS unsupported_claim_rate FROM decided""",
+    ),
+)
+def eval_claim_rates(spark, sf):
+    answers, said, ev = _turns(spark, sf)
+    return evaluate.claim_rates(grounding.decide(answers, grounding.verify(said, ev, 0.05)))
+
+
 _NONE = _TURNS.replace("AS ids FROM answers)", "AS ids FROM answers WHERE answer_id % 3 > 0)")
 
 

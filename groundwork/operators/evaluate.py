@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from statistics import median
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,20 +55,34 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def claim_rates(decided: DataFrame) -> DataFrame:
+    """One row: answers, abstained, sentences, supported, coverage and unsupported rate of :func:`grounding.decide`.
+
+    Sentences of an abstained answer count as well, so a rejected claim shows in the rates.
+    """
+    total, bad = F.coalesce(F.sum("n_sentences"), F.lit(0)), F.coalesce(F.sum("unsupported_sentence_count"), F.lit(0))
+    return decided.agg(
+        F.count(F.lit(1)).alias("n_answers"),
+        F.count_if("abstained").alias("n_abstained"),
+        total.alias("total_sentences"),
+        (total - bad).alias("supported_sentences"),
+        T.safe_div(total - bad, total).alias("citation_coverage"),
+        T.safe_div(bad, total).alias("unsupported_claim_rate"),
+    )
+
+
 def evaluate(examples: DataFrame, top_k: int = 5) -> dict:
     """The summary as a dictionary, with a row an example and the time of the job spread over them."""
-    began = time.perf_counter()
-    done = [r.asDict() for r in rows(examples, top_k).orderBy("question_id").collect()]
-    each = round((time.perf_counter() - began) * 1000 / max(1, len(done)), 3)
-    for r in done:
-        r["latency_ms"] = each
-    spark = examples.sparkSession
-    back = spark.createDataFrame(
-        [(r["requires_abstention"], r["abstained"], r["answer"], r["expected_answer"], r["n_sentences"], r["n_supported"]) for r in done],
-        "requires_abstention boolean, abstained boolean, answer string, expected_answer string, n_sentences long, n_supported long",
-    )
-    out = summary(back).first().asDict()
-    return out | {"median_latency_ms": round(median(r["latency_ms"] for r in done), 3) if done else 0.0, "rows": done}
+    found = rows(examples, top_k).persist()
+    try:
+        began = time.perf_counter()
+        out = summary(found).first().asDict()
+        took = (time.perf_counter() - began) * 1000
+        done = [r.asDict() for r in found.orderBy("question_id").collect()]  # the report that was asked for
+    finally:
+        found.unpersist()
+    each = round(took / max(1, len(done)), 3)
+    return out | {"latency_ms_per_question": each, "median_latency_ms": each if done else 0.0, "rows": [r | {"latency_ms": each} for r in done]}
 
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
+from groundwork.operators.index import asked, asked_terms
 
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
+QUERY_BLOCK = 512
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, top_k: int = 10) -> DataFrame:
@@ -34,15 +36,25 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> DataFrame:
-    """(qid, rk, item, score): exact cosine neighbours of a stated, small set of queries (qid, vec).
+    """(qid, rk, item, score): exact cosine neighbours of a stated set of queries (qid, vec).
 
-    vectors (item, vec) are read once; the queries are compared in place with each row.
+    Queries come in blocks of about ``QUERY_BLOCK``, a row a block. One block is broadcast; of more, each
+    meets every vector by a join on (block, salt), so no task holds all queries or all vectors.
     """
-    qs = queries.select(F.struct("qid", "vec").alias("q")).agg(F.collect_list("q").alias("qs"))
+    blocks = -(-queries.count() // QUERY_BLOCK)
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item"))
+    block = F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks)))
+    qs = queries.groupBy(block.alias("_b")).agg(F.collect_list(F.struct("qid", "vec")).alias("qs"))
+    if blocks <= 1:
+        met = vectors.withColumn("_v", F.lit(0).cast("long")).join(F.broadcast(qs), F.col("_v") == F.col("_b"))
+    else:
+        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        qs = qs.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = vectors.withColumn("_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        dealt = dealt.withColumn("_w", F.pmod(F.hash("item"), F.lit(salts)))
+        met = dealt.join(qs, (F.col("_v") == F.col("_b")) & (F.col("_w") == F.col("_s")))
     return (
-        vectors.crossJoin(F.broadcast(qs))
-        .select("item", F.explode(F.transform("qs", lambda q: F.struct(q["qid"].alias("qid"), F.round(cosine(q["vec"], F.col("vec")), 6).alias("score")))).alias("s"))
+        met.select("item", F.explode(F.transform("qs", lambda q: F.struct(q["qid"].alias("qid"), F.round(cosine(q["vec"], F.col("vec")), 6).alias("score")))).alias("s"))
         .select("s.qid", "item", "s.score")
         .where(F.col("qid") != F.col("item"))
         .withColumn("rk", F.row_number().over(best))
@@ -55,7 +67,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
     """(qid, rk, chunk_id, score) by Okapi BM25 over content tokens, with their frequency."""
     found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.lower), lambda t: T.is_content(t, T.SEARCH_STOP))
     bags = chunks.select("chunk_id", found.alias("bag")).withColumn("size", F.size("bag"))
-    tf = bags.select("chunk_id", "size", F.explode("bag").alias("term")).groupBy("chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = asked(bags.select("chunk_id", "size", F.explode("bag").alias("term")), asked_terms(queries))
+    tf = each.groupBy("chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     df = tf.groupBy(F.col("term").alias("_d")).agg(F.count(F.lit(1)).alias("df"))
     q = queries.select("qid", F.explode(T.tokens(F.col("question"))).alias("_t"))

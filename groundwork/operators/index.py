@@ -46,6 +46,21 @@ def postings(chunks: DataFrame, scope: Column | None = None, keep: tuple[str, ..
     return chunks.select(own.alias("scope"), "chunk_id", *keep, F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
+#: Distinct query terms up to which they are broadcast; beyond, postings are shuffled to them.
+BROADCAST_TERMS = 1_000_000
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(_at): the distinct terms of all queries, broadcast where their counted number is small."""
+    terms = queries.select(F.explode(T.tokens(F.col("question"))).alias("_at")).distinct()
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
+def asked(post: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings that any query asks for; others are dropped before anything is shuffled."""
+    return post.join(terms, F.col("term") == F.col("_at"), "left_semi")
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     """(scope, term, df)."""
     return post.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -100,7 +115,7 @@ def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, scope: Column
     ``doc_ids`` (doc_id), if it isn't empty, keeps chunks of these documents only. Without a term in
     common, or with ``top_k`` of 0 or less, a query has no row.
     """
-    post = postings(chunks, scope)
+    post = asked(postings(chunks, scope), asked_terms(queries))
     terms = query_terms(queries, post, chunk_counts(chunks, scope))
     if doc_ids is not None and not doc_ids.isEmpty():
         post = post.join(doc_ids.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id") == F.col("_d"), "left_semi")

@@ -96,7 +96,7 @@ def ask_inline(questions: DataFrame, id_col: str, question_col: str, passages_co
 
 def trace(queries: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
     """(qid, terms, matched_chunks, retrieved_chunks): how many rows each stage of a search keeps."""
-    post = index.postings(chunks)
+    post = index.asked(index.postings(chunks), index.asked_terms(queries))
     terms = index.query_terms(queries, post, index.chunk_counts(chunks))
     matched = index.rank(terms, post, 2**31 - 1).groupBy(F.col("qid").alias("_m")).agg(F.count(F.lit(1)).alias("m"))
     n = terms.groupBy(F.col("qid").alias("_t")).agg(F.count(F.lit(1)).alias("t"))
