@@ -2,7 +2,7 @@
 
 A path is split into segments; digits, long hexadecimal names and very long names become wildcards
 of their kind. From the root down, a host's tree keeps a segment as it is only if it is common below
-its parent (``SUPPORT`` pages and a ``SHARE`` of the parent's) and the share of good labels below
+its parent (``SUPPORT`` pages) and the share of good labels below
 it differs from that of its siblings by more than ``Z`` standard errors; all other siblings are
 merged into ``*``. What a path is turned into is its template. A template is rejected if its labelled
 purity, smoothed towards that of its host, which is smoothed towards that of all, is under
@@ -35,7 +35,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH, SUPPORT, SHARE, Z = 6, 20, 0.02, 2.58
+SUPPORT, Z = 20, 2.58
 SMOOTH, PURITY = 10.0, 0.5
 
 
@@ -68,8 +68,7 @@ def shape_of(path: Column) -> Column:
             .otherwise(F.regexp_replace(low, "[0-9]+", "#"))
         )
 
-    found = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), kind)
-    return F.when(F.size(found) > DEPTH, F.concat(F.slice(found, 1, DEPTH), F.array(F.lit("**")))).otherwise(found)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), kind)
 
 
 def _differs(good: Column, n: Column, good_all: Column, n_all: Column) -> Column:
@@ -100,17 +99,18 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("template", F.lit("")),
         "url-0",
     )
-    for depth in range(DEPTH + 1):
-        inner = tree.where(F.size("shape") > depth).withColumn("child", F.get("shape", depth))
-        if inner.isEmpty():
-            break
+    depth = 0
+    while True:
+        inner = tree.where(F.size("shape") > depth).withColumn("child", F.get("shape", F.lit(depth)))
+        if inner.groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).isEmpty():
+            break  # no branch can be kept from here on
         child = inner.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
         parent = inner.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(
             F.sum("n").alias("n_all"), F.sum("known").alias("known_all"), F.sum("good").alias("good_all")
         )
         literal = (
             child.join(parent, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
-            .where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("n_all")))
+            .where(F.col("n") >= SUPPORT)
             .where(_differs(F.col("good"), F.col("known"), F.col("good_all"), F.col("known_all")))
             .select("_h", "_t", F.col("child").alias("_c"))
         )
@@ -125,7 +125,9 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
             f"url-{depth + 1}",
         )
         discard(tree)
-        tree = new
+        tree, depth = new, depth + 1
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("shape") - depth, F.lit(0)))
+    tree = tree.withColumn("template", F.concat("template", rest))
     all_ = tree.agg(F.sum("known").alias("k"), F.sum("good").alias("g")).first()
     base = (all_["g"] or 0) / all_["k"] if all_["k"] else 1.0
     hosts = tree.groupBy(F.col("host").alias("_h")).agg(

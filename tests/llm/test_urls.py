@@ -49,7 +49,7 @@ def test_edges(spark):
 def brute_tree(rows, good):
     """Templates and purity by the definition, over (id, host, segments)."""
     tpl = [""] * len(rows)
-    for depth in range(urls.DEPTH + 1):
+    for depth in range(max(len(s) for _, _, s in rows)):
         nodes = {}
         for k, (i, host, segs) in enumerate(rows):
             if len(segs) > depth:
@@ -60,7 +60,7 @@ def brute_tree(rows, good):
             all_ = known(everyone)
             for child, ks in kids.items():
                 own = known(ks)
-                keep = len(ks) >= urls.SUPPORT and len(ks) >= urls.SHARE * len(everyone) and own and len(all_) > len(own)
+                keep = len(ks) >= urls.SUPPORT and own and len(all_) > len(own)
                 if keep:
                     p, n, m = sum(all_) / len(all_), len(own), len(all_) - len(own)
                     err = (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
@@ -82,13 +82,13 @@ def brute_tree(rows, good):
 
 
 def test_tree_matches_brute_force(spark):
-    paths = ["/news/{}", "/ads/{}/click", "/ads/offer-{}", "/u/deadbeefdeadbeef{}/x", "/a/b/c/d/e/f/g/{}", "/{}.html"]
+    paths = ["/news/{}", "/ads/{}/click", "/ads/offer-{}", "/u/deadbeefdeadbeef{}/x", "/a/b/c/d/e/f/g/{}", "/a/b/c/d/e/f/g/h/ads/{}/x/y", "/a/b/c/d/e/f/g/h/fine/{}", "/{}.html"]
     rows, good = [], {}
-    for k in range(600):
-        path = paths[k % 6].format(k)
+    for k in range(900):
+        path = paths[k % 8].format(k)
         rows.append((k, f"http://h{k % 2}.example/{path[1:]}"))
         if k % 5:
-            good[k] = int(not path.startswith("/ads") or k % 11 == 0)
+            good[k] = int("/ads" not in path or k % 11 == 0)
     df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows], S)
     got = urls.filter_urls(df, spark.createDataFrame(list(good.items()), L), rules=()).collect()
     shapes = {r.page_id: (r.h, r.s) for r in df.select("page_id", urls.host_of(urls.F.col("url")).alias("h"), urls.shape_of(urls.path_of(urls.F.col("url"))).alias("s")).collect()}
