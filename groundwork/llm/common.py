@@ -6,6 +6,8 @@ that the session names in ``spark.checkpoint.dir`` and read back (:func:`cut`).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -58,7 +60,21 @@ def remove(spark: SparkSession, path: str | None) -> None:
 def bounded(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches of bounded bytes, however long the rows are; a larger row comes alone."""
     limit_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(each, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task holds none for it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def limit_batches(spark: SparkSession) -> None:
