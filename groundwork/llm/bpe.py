@@ -103,8 +103,8 @@ def rank_of(table: Column, a: Column, b: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """body(value), with the value computed once: the end of a fold over nothing, which copies neither."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 #: A place of the fold: the rank of the id with its right neighbour, its first byte's place, the id.
