@@ -17,4 +17,4 @@ QUERIES = {
     "op10_embedding_near_dedup": embedding.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_url_filter": urls.oracle()}

@@ -161,3 +161,52 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("good"))
     return filter_urls(table(spark, sf_dir, "pages"), labels).withColumnRenamed("id", "page_id")
+
+
+def oracle(levels: int = 8, rules=RULES) -> str:
+    """The same as :func:`query` in SQL; a tree keeps segments as they are down to ``levels``, as SQL has no such loop."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = f"coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '')"
+    path = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    kind = """CASE WHEN regexp_matches(lower(s), '^[0-9a-f-]{16,}$') THEN '{hex}' WHEN length(s) > 40 THEN '{long}'
+  ELSE regexp_replace(lower(s), '[0-9]+', '#', 'g') END"""
+    fits = [
+        (f"(s.host = '{h}' OR ends_with(s.host, '.{h}')) AND starts_with(path, '{p}')", h + p, what)
+        for what, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    ]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END" if fits else "NULL::VARCHAR"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{w}'" for f, _, w in fits) + " END" if fits else "NULL::VARCHAR"
+    parts = [
+        f"u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages)",
+        f"s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS shape FROM u)",
+        "lab AS (SELECT doc_id, count(*) AS known, sum(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id)",
+        """t0 AS (SELECT host, shape, count(*) AS n, coalesce(sum(known), 0)::DOUBLE AS known, coalesce(sum(good), 0)::DOUBLE AS good, '' AS template
+  FROM s LEFT JOIN lab ON page_id = doc_id GROUP BY host, shape)""",
+    ]
+    for d in range(levels):
+        sums = "sum(n) AS n, sum(known) AS known, sum(good) AS good"
+        share = "(p.good / nullif(p.known, 0))"
+        rest = "nullif(p.known - c.known, 0)"
+        error = f"nullif(sqrt({share} * (1 - {share}) * (1 / nullif(c.known, 0) + 1 / {rest})), 0)"
+        parts += [
+            f"c{d} AS (SELECT host, template, shape[{d + 1}] AS child, {sums} FROM t{d} WHERE len(shape) > {d} GROUP BY ALL)",
+            f"p{d} AS (SELECT host, template, {sums} FROM t{d} WHERE len(shape) > {d} GROUP BY ALL)",
+            f"""l{d} AS (SELECT c.host, c.template, child FROM c{d} c JOIN p{d} p ON c.host = p.host AND c.template = p.template
+  WHERE c.n >= {SUPPORT} AND abs(c.good / nullif(c.known, 0) - (p.good - c.good) / {rest}) / {error} > {Z})""",
+            f"""t{d + 1} AS (SELECT t.host, shape, n, known, good,
+  CASE WHEN len(shape) > {d} THEN t.template || '/' || coalesce(child, '*') ELSE t.template END AS template
+  FROM t{d} t LEFT JOIN l{d} l ON t.host = l.host AND t.template = l.template AND shape[{d + 1}] = child)""",
+        ]
+    parts += [
+        f"t AS (SELECT * REPLACE (template || repeat('/*', greatest(len(shape) - {levels}, 0)) AS template) FROM t{levels})",
+        "b AS (SELECT coalesce(sum(good) / nullif(sum(known), 0), 1.0) AS base FROM t)",
+        f"h AS (SELECT host, (sum(good) + {SMOOTH} * any_value(base)) / (sum(known) + {SMOOTH}) AS host_purity FROM t, b GROUP BY host)",
+        f"""f AS (SELECT t.host, template, (sum(good) + {SMOOTH} * any_value(host_purity)) / (sum(known) + {SMOOTH}) AS purity
+  FROM t JOIN h ON t.host = h.host GROUP BY t.host, template)""",
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT page_id, s.host, path, {rule} AS rule,
+  coalesce({verdict}, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
+FROM s JOIN t ON s.host = t.host AND s.shape = t.shape JOIN f ON t.host = f.host AND t.template = f.template"""
+    )

@@ -1,6 +1,7 @@
 import re
 
 from groundwork.llm import urls
+from tests.oracle import connect, differences
 
 S = "page_id long, url string, host string, path string, n int, child string"
 L = "id long, good int"
@@ -98,3 +99,9 @@ def test_tree_matches_brute_force(spark):
         assert r.rule is None and r.verdict == ("block" if r.purity < urls.PURITY else "allow")
     blocked = {r.id for r in got if r.verdict == "block"}
     assert blocked and all("/ads/" in rows[i][1] for i in blocked)
+
+
+def test_oracle_sql(spark):
+    """The SQL gives the same rows."""
+    sf = "/root/testdata/sf0.01"
+    assert not differences(urls.query(spark, sf), connect(sf), urls.oracle())
