@@ -17,6 +17,10 @@ Defined cases: null or wordless text has fingerprint zero, which links like any
 than the shingle length form one shingle; repeated rows share class and component; a null id is
 kept, but is never the smallest of a component that has another id; an empty table gives no rows;
 other columns are ignored.
+
+:func:`near_dedup`, the pipeline's stage, takes SimHash fingerprints of five-word shingles, finds those within
+``NEAR_BITS`` of each other by the same chains, and confirms each such link by exact similarity. Texts that are
+similar enough but whose fingerprints lie further apart are found by bands of least hashes, confirmed likewise.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from groundwork.llm.common import Forest, arrow, blocked, bounded, by_position,
 WIDTH = 64
 #: Fingerprints of one key that one task compares at a time.
 BLOCK_ROWS = 1 << 16
-#: Differing bits at which fingerprints of five-word shingles are near; near_dedup() goes by exact similarity.
+#: Differing bits up to which near_dedup() takes two fingerprints of five-word shingles for a candidate.
 NEAR_BITS = 8
 #: Least Jaccard similarity at which near_dedup() links, as a fraction.
 NEAR = (4, 5)
@@ -55,7 +59,12 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     first = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)], "<u8")
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(h)
     counts = np.zeros(WIDTH, np.int64)
     for k in range(0, n, 1 << 16):
         bits = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -205,9 +214,13 @@ def alike(x: set[bytes], y: set[bytes]) -> bool:
     return both * NEAR[1] >= (len(x) + len(y) - both) * NEAR[0]
 
 
-def band_keys(found: set[bytes]) -> tuple[int, list[int]]:
-    """The hash of a set of shingles and its keys, one for each band of ROWS least hashes."""
-    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(x) for x in found), np.uint64, len(found)))
+def hashes(found: set[bytes]) -> np.ndarray:
+    """The hashes of a set of shingles, in order."""
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x) for x in found), np.uint64, len(found)))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """The keys of a set of hashes, one for each band of ROWS least hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(h), 1024):
         x = h[k : k + 1024, None] * _ODD
@@ -215,20 +228,31 @@ def band_keys(found: set[bytes]) -> tuple[int, list[int]]:
         x *= np.uint64(0xBF58476D1CE4E5B9)
         np.minimum(least, x.min(axis=0), out=least)
     raw = least.reshape(BANDS, ROWS)
-    return xxhash.xxh64_intdigest(h.tobytes()), [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(raw)]
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(raw)]
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """texts (id, t, text) -> (id, t, s, keys)."""
+    """texts (id, t, text) -> (id, t, s, fp, keys): hash of the set of shingles, its SimHash fingerprint, keys of its bands."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [band_keys(shingles(x)) for x in batch.column(2).to_pylist()]
-        s = np.array([x for x, _ in made], np.uint64).view(np.int64)
-        keys = np.array([k for _, k in made], np.uint64).view(np.int64).reshape(-1)
+        made = [hashes(shingles(x)) for x in batch.column(2).to_pylist()]
+        s, fp = (np.array([f(h) for h in made], np.uint64).view(np.int64) for f in (lambda h: xxhash.xxh64_intdigest(h.tobytes()), majority))
+        keys = np.array([band_keys(h) for h in made], np.uint64).view(np.int64).reshape(-1)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(keys))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), keys], ["id", "t", "s", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array(fp), keys], ["id", "t", "s", "fp", "keys"])
+
+    return arrow(texts, each, "id long, t long, s long, fp long, keys array<long>", 256)
+
 
-    return arrow(texts, each, "id long, t long, s long, keys array<long>", 256)
+def _near_pairs(classes: DataFrame) -> DataFrame:
+    """classes (fp, rep, t) -> (a, ta, b, tb): links that span the classes whose fingerprints differ in NEAR_BITS at most."""
+    fps = cut(classes.groupBy("fp").agg(F.min(F.struct("rep", "t")).alias("f")).select("fp", "f.*"), "near-fp")
+    first = fps.toDF("_fp", "b", "tb")
+    equal = classes.join(grown(first), F.col("fp") == F.col("_fp")).where(F.struct("b", "tb") < F.struct("rep", "t"))
+    # linked by fingerprint, as an id alone doesn't name a text
+    close = cut(links(fps.select("fp", F.col("fp").alias("rep")), NEAR_BITS).distinct().toDF("x", "y"), "near-close")
+    close = close.join(grown(fps.toDF("_x", "a", "ta")), F.col("x") == F.col("_x")).join(grown(first), F.col("y") == F.col("_fp"))
+    return equal.select(F.col("rep").alias("a"), F.col("t").alias("ta"), "b", "tb").unionAll(close.select("a", "ta", "b", "tb"))
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -277,18 +301,21 @@ def _compared(units: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row with an id: components of texts whose shingles are alike.
 
-    Candidates share a band of least hashes. Each is confirmed against the commonest least member of its
-    bands; bands that still hold more than one component are then compared in full, in blocks.
+    Candidates are near by SimHash, or share a band of least hashes: each text is held against the commonest
+    least member of its bands. Every candidate is confirmed. Bands that still hold more than one component are
+    then compared in full, in blocks.
     """
     texts = id_text(docs, id_col, text_col).where("id IS NOT NULL").select("id", F.xxhash64("text").alias("t"), "text")
     rows = cut(_sketches(texts), "near-sketch")
-    classes = cut(rows.groupBy("s").agg(F.min(F.struct("id", "t", "keys")).alias("m")).select("s", "m.*"), "near-class")
+    classes = cut(rows.groupBy("s").agg(F.min(F.struct("id", "t", "fp", "keys")).alias("m")).select("s", "m.*"), "near-class")
     keyed = classes.select(F.col("id").alias("rep"), "t", F.explode("keys").alias("key"))
     first = F.min(F.struct("rep", "t")).alias("first")
     shared = keyed.groupBy(F.col("key").alias("_k")).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(keyed.join(grown(shared), F.col("key") == F.col("_k")).select("key", "rep", "t", "first"), "near-member")
-    edges = cut(members.where(F.col("first") < F.struct("rep", "t")).groupBy("rep", "t").agg(F.mode("first").alias("f")).select("rep", "t", "f.*").toDF("a", "ta", "b", "tb"), "near-edge")
-    nodes = members.select("rep", "t").distinct().toDF("_i", "_t")
+    banded = members.where(F.col("first") < F.struct("rep", "t")).groupBy("rep", "t").agg(F.mode("first").alias("f")).select("rep", "t", "f.*").toDF("a", "ta", "b", "tb")
+    near = _near_pairs(classes.select("fp", F.col("id").alias("rep"), "t"))
+    edges = cut(near.unionAll(banded).distinct(), "near-edge")
+    nodes = members.select("rep", "t").unionAll(edges.select("a", "ta")).unionAll(edges.select("b", "tb")).distinct().toDF("_i", "_t")
     own = cut(
         texts.join(grown(nodes), (F.col("id") == F.col("_i")) & (F.col("t") == F.col("_t"))).select("id", "t", "text").dropDuplicates(["id", "t"]), "near-text"
     )

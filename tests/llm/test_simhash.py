@@ -147,6 +147,24 @@ def test_near_dedup_goes_by_exact_similarity(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_near_dedup_takes_its_candidates_from_fingerprints(spark, monkeypatch):
+    """With no band shared by any two texts, SimHash alone finds those that differ in few bits."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        rows.append((2 * k, " ".join(words)))
+        words[int(rng.integers(0, 400))] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    fps = {i: simhash.majority(simhash.hashes(simhash.shingles(t))) for i, t in rows}
+    close = {2 * k + 1 for k in range(30) if (fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= simhash.NEAR_BITS}
+    assert len(close) > 25
+    none = lambda h: [int(x) for x in np.random.default_rng(int(h[0])).integers(0, 2**63, simhash.BANDS)]
+    monkeypatch.setattr(simhash, "band_keys", lambda h: none(h ^ np.uint64(len(h)) ^ np.bitwise_xor.reduce(h)))
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == set(fps) - close
+
+
 def test_a_null_id_joins_its_neighbours(spark):
     """Components over fingerprints: what only a null id has still links the ones on either side."""
     import pyspark.sql.functions as F
