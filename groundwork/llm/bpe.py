@@ -7,10 +7,10 @@ remainder, since looking a key up in one Spark map reads all of it. Ids are deco
 array of binary pieces, which are concatenated (Spark joins arrays of strings in one step, and its
 strings are bytes; nothing is read as characters on the way).
 
-Each match of the split pattern is a word. Of the corpus's distinct words, counted over all texts, the
-``HEAD`` commonest at most (all of a count, or none) are folded once, and their ids become a second
-literal of the plan, of bounded size; any other word is folded where it stands. That changes where the
-work is done, not its result. Nothing but word counts is shuffled, and no row is larger than its document's.
+Each match of the split pattern is a word. Of the corpus's distinct words, counted over one in ``COUNTED``
+of the different texts, the ``HEAD`` commonest at most (all of a count, or none) are folded once, and their
+ids become a second literal of the plan, of bounded size; any other word is folded where it stands. That
+changes where the work is done, not its result: every text is encoded whole, whatever was counted. Nothing but word counts is shuffled, and no row is larger than its document's.
 
 Java's regular expressions split the texts. Its ``\\s`` is written out, and letters and digits of newer
 Unicode versions, which the ``tiktoken`` library knows and Java doesn't, are added for texts that leave
@@ -37,6 +37,8 @@ from groundwork.llm.common import cut, discard, id_text, table
 
 #: Distinct words that are folded once and looked up, at most.
 HEAD = 1 << 18
+#: One text in so many, by its hash, is counted to choose them.
+COUNTED = 4
 #: Maps in which they lie, and those of the pairs; odd, so that both ids of a pair count.
 HEAD_BUCKETS, BUCKETS = (1 << 18) - 1, (1 << 17) - 1
 #: White space in Unicode.
@@ -252,10 +254,11 @@ def _bucket(word: Column) -> Column:
 
 
 def head(texts: DataFrame, ranks: dict[bytes, int], merges: Column, pieces: Column, numbers: Column) -> Column:
-    """The literal of the commonest words, coded."""
+    """The literal of the commonest words of the texts that are counted, coded."""
     spark = texts.sparkSession
     counts = cut(
-        texts.select(F.explode(words(spark, F.col("text"))).alias("k"))
+        texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
+        .select(F.explode(words(spark, F.col("text"))).alias("k"))
         .groupBy("k")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
