@@ -28,6 +28,8 @@ from groundwork.llm.common import arrow, bounded, cut, id_text, table
 from groundwork.llm.tokens import closed, default_tokenizer, encoder
 
 SIZE = 2048
+#: Texts that are encoded at a time.
+ROWS = 1024
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -96,25 +98,30 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str,
         enc, task = encoder(tokenizer), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
-            ids, edge = closed(enc, batch.column(1), end_id)
-            total = np.diff(edge)
-            count = -(-total // size)
-            at = np.repeat(np.arange(len(total)), count)
-            start = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) * size
-            length = np.minimum(total[at] - start, size)
-            wide, first = memoryview(ids.astype("<u4")), edge[at] + start
-            crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
-            # the rank of a piece among those of its length, over the whole task
-            order = np.argsort(length, kind="stable")
-            kinds, begin, n = np.unique(length[order], return_index=True, return_counts=True)
-            rank = np.empty(len(at), np.int64)
-            rank[order] = np.arange(len(at)) - np.repeat(begin - ranks[kinds], n)
-            ranks[kinds] += n
-            cols = [pa.array(v, pa.int64()) for v in (start, length, crc, total[at], np.full(len(at), task), rank)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), *cols],
-                ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
-            )
+            for k in range(0, batch.num_rows, ROWS):
+                yield cut_up(enc, task, ranks, batch.slice(k, ROWS))
+        enc.forget()
+
+    def cut_up(enc, task, ranks, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, edge = closed(enc, batch.column(1), end_id)
+        total = np.diff(edge)
+        count = -(-total // size)
+        at = np.repeat(np.arange(len(total)), count)
+        start = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) * size
+        length = np.minimum(total[at] - start, size)
+        wide, first = memoryview(ids.astype("<u4")), edge[at] + start
+        crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+        # the rank of a piece among those of its length, over the whole task
+        order = np.argsort(length, kind="stable")
+        kinds, begin, n = np.unique(length[order], return_index=True, return_counts=True)
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at)) - np.repeat(begin - ranks[kinds], n)
+        ranks[kinds] += n
+        cols = [pa.array(v, pa.int64()) for v in (start, length, crc, total[at], np.full(len(at), task), rank)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at)), *cols],
+            ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
+        )
 
     return bounded(
         id_text(docs, id_col, text_col), each, "id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 CACHE = 250_000
 #: Characters up to which a chunk is remembered.
 CACHED_CHARS = 64
-#: Bytes of text that are cut at once; a longer text comes alone.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are cut at once, which takes some twelve times as many; a longer text comes alone.
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -107,6 +107,10 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what is remembered: the next task's texts share little with it, and other stages need the memory."""
+        self.young, self.old = {}, {}
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 

@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from groundwork.llm import packing, token_files
+from groundwork.llm import packing, token_files, tokens
 from groundwork.llm.tokens import Encoder, default_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +100,32 @@ def test_pack_edges(spark):
     assert packing.pack(spark.createDataFrame([], S)).count() == 0
 
 
+def test_workers_forget_after_packing(spark):
+    rows = [(k, f"some words {k} and others", "", 1, 0.0) for k in range(500)]
+    packing.pack(spark.createDataFrame(rows, S)).count()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        n = [len(e.young) + len(e.old) for e in tokens._encoders.values()]
+        yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64())})
+
+    found = [r.n for r in spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()]
+    assert found and not any(found)  # the same workers serve both
+
+
+def test_memory_of_a_batch():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(340)) for _ in range(4000)])
+    ENC.encode(texts)
+    tracemalloc.start()
+    ENC.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * texts.nbytes
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), max_size=30))
 def test_patterns_place_every_piece_once(histogram):
