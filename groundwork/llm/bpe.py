@@ -41,8 +41,8 @@ HEAD = 1 << 18
 HEAD_BUCKETS, BUCKETS = (1 << 18) - 1, (1 << 17) - 1
 #: White space in Unicode.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Where letters, digits and white space are the same in all Unicode versions from 6 on.
-SETTLED = r"\x{0}-\x{51F}\x{2010}-\x{206F}\x{3000}-\x{30FF}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
+#: Where letters, digits and white space are the same in all Unicode versions from 6 on: the first range, and the rest.
+SETTLED = r"\x{0}-\x{51F}", r"\x{2010}-\x{206F}\x{3000}-\x{30FF}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
 
 
 def default_ranks() -> str:
@@ -227,6 +227,13 @@ def java_pattern(pattern: str, letters: str = "", digits: str = "") -> str:
     return out.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+def settled(text: Column) -> Column:
+    """Whether all characters lie in SETTLED. Java tests the ranges of a class one by one, so most texts meet the first alone."""
+    first, rest = SETTLED
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return ascii_ | text.rlike(rf"\A[{first}]*\z") | ~text.rlike(rf"[\x{{520}}-\x{{10FFFF}}&&[^{rest}]]")
+
+
 def words(spark: SparkSession, text: Column) -> Column:
     """array<string>: the matches of the split pattern."""
     import public_tokenizers
@@ -234,8 +241,7 @@ def words(spark: SparkSession, text: Column) -> Column:
     plain = java_pattern(public_tokenizers.PATTERN)
     full = java_pattern(public_tokenizers.PATTERN, _unknown(spark, "L", "a"), _unknown(spark, "N", "1"))
     found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    ascii_ = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_ | ~text.rlike(f"[^{SETTLED}]"), found(plain)).otherwise(found(full))
+    return F.when(settled(text), found(plain)).otherwise(found(full))
 
 
 def first_ids(ranks: dict[bytes, int], word: Column) -> Column:

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from groundwork.llm import bpe
 
@@ -35,5 +36,13 @@ def test_same_ids_as_the_library(spark, monkeypatch, size):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.id].encode()).hexdigest()
 
 
+def test_settled_ranges(spark):
+    ranges = [(0, 0x51F), (0x2010, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    edges = {k + d for r in ranges for k in r for d in (-1, 0, 1)} | {0xFFFF, 0x10000, 0x1F642, 0x10FFFF}
+    texts = {f"{a}{chr(k)}{b}": any(x <= k <= y for x, y in ranges) for k in edges if k >= 0 for a in ("", "é\n", "“") for b in ("", "z漢\n")}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.ok for r in rows.select("t", bpe.settled(F.col("t")).alias("ok")).collect()} == texts
+
+
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], S)).count() == 0
