@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow, bounded, cut, id_text, table
-from groundwork.llm.tokens import closed, default_tokenizer, encoder
+from groundwork.llm.tokens import CACHE, closed, default_tokenizer, encoder
 
 SIZE = 2048
 #: Texts that are encoded at a time.
@@ -89,13 +89,14 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
     return table["sequence"][k] + rank - table["first"][k], table["offset"][k]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str, text_col: str, cache: int = CACHE) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, task, rank): rank among the task's pieces of that length."""
 
     def each(batches):
         from pyspark import TaskContext
 
         enc, task = encoder(tokenizer), TaskContext.get().partitionId()
+        enc.cache = cache
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -135,11 +136,12 @@ def pack(
     size: int = SIZE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cache: int = CACHE,
 ) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padding."""
     if size < 1:
         raise ValueError("size must be positive")
-    found = cut(pieces(docs, tokenizer or default_tokenizer(), end_id, size, id_col, text_col), "pack-pieces")
+    found = cut(pieces(docs, tokenizer or default_tokenizer(), end_id, size, id_col, text_col, cache), "pack-pieces")
     counts = found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     patterns = shortest_pack_first(histogram, size)

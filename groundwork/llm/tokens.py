@@ -104,6 +104,7 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = {b: c for c, b in byte_letters().items()}
         self.ascii = {b: self.letters[b] for b in (10, 32)}
+        self.cache = CACHE
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -117,7 +118,7 @@ class Encoder:
     def _remember(self, text: str, found: bytes) -> bytes:
         """When the younger generation is full, the older is forgotten."""
         if len(text) <= CACHED_CHARS:
-            if len(self.young) >= CACHE:
+            if len(self.young) >= self.cache:
                 self.old, self.young = self.young, {}
             self.young[text] = found
         return found

@@ -114,6 +114,15 @@ def test_workers_forget_after_packing(spark):
     assert found and not any(found)  # the same workers serve both
 
 
+def test_small_cache_gives_the_same_ids():
+    enc = Encoder(default_tokenizer())
+    enc.cache = 3
+    text = "one two three four five, one six seven é two"
+    for _ in range(3):
+        assert enc.encode(pa.array([text]))[0].tolist() == ids_of(text)
+        assert max(len(enc.young), len(enc.old)) <= 3
+
+
 def test_memory_of_a_batch():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
