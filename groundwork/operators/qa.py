@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.operators import grounding, index
+from groundwork.operators import grounding, index, scan
 from groundwork.sources.files import inline_chunks
 
 
@@ -96,10 +97,18 @@ def ask_inline(questions: DataFrame, id_col: str, question_col: str, passages_co
 
 def trace(queries: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
     """(qid, terms, matched_chunks, retrieved_chunks): how many rows each stage of a search keeps."""
-    post = index.asked(index.postings(chunks), index.asked_terms(queries))
-    terms = index.query_terms(queries, post, index.chunk_counts(chunks))
-    matched = index.rank(terms, post, 2**31 - 1).groupBy(F.col("qid").alias("_m")).agg(F.count(F.lit(1)).alias("m"))
-    n = terms.groupBy(F.col("qid").alias("_t")).agg(F.count(F.lit(1)).alias("t"))
+    a = scan.asked(queries)
+    if a is not None:
+        m, chunk_count = scan.matched(a, chunks)
+        t = np.bincount(a.query, a.times, len(a.qids)).astype(int).tolist()
+        rows = list(zip(a.qids, m, t, strict=True)) if chunk_count else []
+        both = queries.sparkSession.createDataFrame(rows, f"_m {a.kind}, m long, t long")
+        matched, n = both.select("_m", "m"), both.select(F.col("_m").alias("_t"), "t")
+    else:
+        post = index.asked(index.postings(chunks), index.asked_terms(queries))
+        terms = index.query_terms(queries, post, index.chunk_counts(chunks))
+        matched = index.rank(terms, post, 2**31 - 1).groupBy(F.col("qid").alias("_m")).agg(F.count(F.lit(1)).alias("m"))
+        n = terms.groupBy(F.col("qid").alias("_t")).agg(F.count(F.lit(1)).alias("t"))
     return (
         queries.select("qid")
         .join(n, F.col("qid") == F.col("_t"), "left")

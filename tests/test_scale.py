@@ -4,7 +4,10 @@ import math
 import random
 
 
-from groundwork.operators import extensions
+from pyspark.sql import functions as F
+
+from groundwork.functions import text as T
+from groundwork.operators import extensions, index, qa, scan
 
 
 def test_nearest_odd_vectors(spark, monkeypatch):
@@ -31,3 +34,41 @@ def test_nearest_odd_vectors(spark, monkeypatch):
         if q is not None and q % 10 == 0:
             want = sorted(((score(a, b), i) for i, b in rows if i is not None and i != q), key=lambda x: (place(x[0]), x[1]))[:5]
             assert str(got[q]).replace("-0.0)", "0.0)") == str([(i, s) for s, i in want]).replace("-0.0)", "0.0)")
+
+
+def odd_texts():
+    rng = random.Random(6)
+    letters = ["a", "b", "Z", "7", ".", "-", "%", " ", "\n", "\x1c", "\u00a0", "\u0130", "\u212a", "\u00e9", "_", "the", "foxes", "x1", "3.5%"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", "a. b- the.", "end. Next"]
+
+
+def test_tokens_of_bytes_are_those_of_columns(spark):
+    texts = odd_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.tokens(F.col("t")).alias("tok")).collect()
+    terms = sorted({t for r in rows for t in r.tok or []})
+    row, term, tf, size = scan.Words(terms).of(texts)
+    got = {}
+    for k, t in zip(row.tolist(), term.tolist(), strict=True):
+        got.setdefault(k, set()).add(terms[t])
+    assert {r.k: set(r.tok) for r in rows if r.tok} == got and size.sum() == tf.sum()
+
+
+def test_words_of_python_are_those_of_columns(spark):
+    texts = [t or "" for t in odd_texts()]
+    for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.words(F.col("t")).alias("w")).collect():
+        assert T.split_words(texts[r.k]) == r.w
+
+
+def test_scan_ranks_as_postings_do(spark, monkeypatch):
+    """Many equal scores, more chunks than a call takes; the search shuffles no posting."""
+    rng = random.Random(8)
+    word = [f"w{k}" for k in range(30)]
+    chunks = spark.createDataFrame([(f"{k}:c", k % 7, " ".join(rng.choices(word, k=4))) for k in range(1500)], "chunk_id string, doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(0, k, " ".join(rng.choices(word, k=3))) for k in range(20)] + [(0, 99, "unseen")], "scope long, qid long, question string")
+    only = spark.createDataFrame([(1,), (3,)], "doc_id long")
+    run = lambda: [sorted(map(str, f.collect())) for f in (index.search(q, chunks, 7), index.search(q, chunks, 3, doc_ids=only), extensions.bm25(q, chunks, 7), qa.trace(q, chunks))]
+    plan = index.search(q, chunks, 7)._jdf.queryExecution().toString()
+    got = run()
+    assert "regexp_extract_all" not in plan
+    monkeypatch.setattr(scan, "MOST", 0)
+    assert got == run()
